@@ -44,19 +44,17 @@ def words(text: str | None) -> list[bytes]:
         return []
     if "<" in text:
         text = _TAG.sub("", text)
+    if "-" in text or "\xad" in text or "\u2010" in text or "\u2011" in text:
+        text = _HYPHEN_BREAK.sub("", text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text).casefold()
         if _OTHER.search(text):
             text = " ".join(w.translate(_ALIKE) if re.search("[a-z]", w) else w for w in text.split(" "))
-        if "\xad" in text or "‐" in text or "‑" in text:
-            text = _HYPHEN_BREAK.sub("", text)
         text = text.translate(_REMOVED)
         if not text.isascii():
             text = "".join(c if c < "\x80" else "" if unicodedata.combining(c) else c if c.isalnum() else " " for c in text)
             if not text.isascii():
                 return [w.encode() for w in re.findall(r"\w+", text)]
-    if "-" in text:
-        text = _HYPHEN_BREAK.sub("", text)
     return text.encode().translate(_TABLE, _DELETE).split()
 
 

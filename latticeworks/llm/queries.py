@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, leakage, quantiles, split, topn
+from . import encode, leakage, neighbours, quantiles, split, topn
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,16 @@ def p2_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("g").alias("community"), F.col("pct").cast("int").alias("pct"), "n", F.round("value", 9).alias("value"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neighbours.close_pairs(table(spark, sf_dir, "frozen_vectors"))
+    return pairs.select(F.col("a").alias("icsd_id_a"), F.col("b").alias("icsd_id_b"))
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, sf_dir, "frozen_vectors"))
+    return near.select(F.col("id").alias("icsd_id"), "rk", F.col("near").alias("neighbour_id"), F.round("distance", 6).alias("distance"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.nearest_members(table(spark, sf_dir, "node_events")).select("community", "rk", "icsd_id")
 
@@ -64,4 +74,4 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_percentiles, p2_merged_days, p4_found, p6_ids, p6_lengths, p7_found, p8_found, p8_pieces)}
+    return {f.__name__: f for f in (p2_found, p2_percentiles, p2_merged_days, p3_found, p3_neighbours, p4_found, p6_ids, p6_lengths, p7_found, p8_found, p8_pieces)}
