@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, leakage, neighbours, quantiles, split, topn
+from . import clusters, encode, entities, leakage, neighbours, quantiles, split, topn
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,25 @@ def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.one_per_key(table(spark, sf_dir, "node_events"), "community", "distance_to_centroid", "icsd_id", "ingest_ts")
 
 
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned = table(spark, sf_dir, "community_assignments").select("icsd_id").where(F.col("icsd_id").isNotNull()).distinct()
+    vectors = table(spark, sf_dir, "frozen_vectors").select("icsd_id", "row_ix", "pca32").join(assigned, "icsd_id", "left_semi")
+    return clusters.cluster_records(vectors)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.chain(_clusters(spark, sf_dir)).select(F.col("a").alias("icsd_id_a"), F.col("b").alias("icsd_id_b"))
+
+
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir).select(F.col("id").alias("icsd_id"), F.col("cluster").alias("community"), F.round("distance", 5).alias("distance"))
+
+
+def p1_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clusters.describe(_clusters(spark, sf_dir))
+    return out.select(F.col("cluster").alias("community"), "size", F.round("radius", 5).alias("radius"), F.array_join("typical", ",").alias("typical"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     published = table(spark, sf_dir, "community_thresholds").select(F.col("community").alias("g"), "pct", "threshold")
     return quantiles.wrong_thresholds(_distances(spark, sf_dir), published).select(F.col("g").alias("community"), "pct")
@@ -47,6 +66,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.nearest_members(table(spark, sf_dir, "node_events")).select("community", "rk", "icsd_id")
 
 
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [table(spark, sf_dir, t) for t in ("mp_records", "jarvis_records", "alex_records", "alab_targets")]
+    return entities.match_materials(spark, *tables).select("id_a", "id_b", F.round("confidence", 6).alias("confidence"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_matches(spark, sf_dir).where(F.col("confidence") >= 0.5).select("id_a", "id_b")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -74,4 +102,10 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_percentiles, p2_merged_days, p3_found, p3_neighbours, p4_found, p6_ids, p6_lengths, p7_found, p8_found, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_members, p1_communities, p2_found, p2_percentiles, p2_merged_days, p3_found, p3_neighbours, p4_found, p5_found, p5_matches, p6_ids, p6_lengths, p7_found, p8_found, p8_pieces)}
+
+
+def oracle_sql() -> dict[str, str]:
+    from .oracles import SQL
+
+    return SQL
