@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VECTOR_WIDTH = 32
@@ -70,14 +70,14 @@ def distinct_vectors(df: DataFrame, key: str, vector: str, order: str) -> DataFr
     class; ``rep`` is its smallest key and ``copies`` its size, so a later stage works on the rows with ``id = rep`` and a
     vector held by a third of all keys costs no more than any other. Null keys are left out. Other columns are ignored.
     """
-    rows = df.where(F.col(key).isNotNull() & is_vector(vector)).select(
-        F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"), F.col(order).cast("bigint").alias("o")
-    )
+    rows = df.where(F.col(key).isNotNull() & is_vector(vector)).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"), F.coalesce(F.col(order).cast("bigint"), F.lit(2**62)).alias("o"))
     # -0.0 and 0.0 are one value
-    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float")))
-    # the repeats go in the first exchange; only keys that still differ are compared
-    one = rows.groupBy("id").agg(F.min(F.struct(F.coalesce("o", F.lit(2**62)).alias("o"), "v")).alias("s")).select("id", "s.v")
-    from pyspark.sql import Window
-
-    same = Window.partitionBy("v")
-    return one.select("id", F.min("id").over(same).alias("rep"), F.count("*").over(same).cast("int").alias("copies"), "v")
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float"))).withColumn("h", F.xxhash64("v"))
+    # keys with several vectors are found on hashes; vectors are exchanged once, by the vector
+    several = rows.groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min(F.struct("o", "h")).alias("first")).where("lo <> hi")
+    several = stage(several.select("id", F.col("first.h").alias("kept")), "several")
+    if several.limit(1).count():
+        rows = rows.join(several, "id", "left").where(F.col("kept").isNull() | (F.col("kept") == F.col("h")))
+    same = Window.partitionBy("h", "v")
+    rows = rows.select("id", "v", "h").withColumn("before", F.lag("id").over(same.orderBy("id"))).where(F.col("before").isNull() | (F.col("before") < F.col("id")))
+    return rows.select("id", F.min("id").over(same).alias("rep"), F.count("*").over(same).cast("int").alias("copies"), "v")

@@ -26,14 +26,15 @@ class Permutations:
     """Parameters of the index. ``most_pivots`` bounds what is sampled and sent to the tasks (1 MB per 8,192)."""
 
     per_pivot: int = 128  #: vectors per pivot
-    most_pivots: int = 32768
+    most_pivots: int = 32767
     prefix: int = 8  #: places of a permutation that footrule compares, 21 at most
-    probes: int = 40  #: files walked at most
+    probes: int = 32  #: files walked at most
     least_probes: int = 4
-    reach: float = 1.35  #: files of pivots up to this many times as far as the nearest are walked
+    reach: float = 1.3  #: files of pivots up to this many times as far as the nearest are walked
     reranked: float = 0.75  #: share of a file, the best by footrule, that is compared exactly
-    pivots_per_bucket: int = 64
-    slice_rows: int = 16384  #: postings per task
+    pivots_per_bucket: int = 128
+    buckets: int = 2  #: a query walks files in this many buckets at most
+    slice_rows: int = 32768  #: postings per task
 
 
 def bucket_pivots(pivots, most: int):
@@ -126,17 +127,21 @@ def _walk(options: Permutations, k: int):
 
         got = got.combine_chunks()
         ids, x = got.column("rep").to_numpy(), matrix(got.column("v"))
-        perm = matrix(got.column("perm"), got.column("perm").chunk(0).value_lengths()[0].as_py()).astype(np.int32) if got.num_rows else None
-        posts, probes = got.column("post").to_numpy(zero_copy_only=False), got.column("probes").to_numpy()
-        local = np.unique(perm)
-        perm = np.searchsorted(local, perm).astype(np.int32)
-        width = perm.shape[1]
+        copies, posts = got.column("copies").to_numpy(), got.column("post").to_numpy(zero_copy_only=False)
+        lists = got.column("perm").combine_chunks()
+        sizes = lists.value_lengths().to_numpy()
+        # permutations of different length in one table; what is missing is a pivot of its own, in no file
+        local, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        width = int(sizes.max())
+        place = np.arange(width)[None, :]
+        held = place < sizes[:, None]
+        perm = np.full(held.shape, len(local), np.int32)
+        perm[held] = flat
         prefix = min(width, options.prefix)  # the sum of the weights, 78 of 12, must fit a byte
         weights = (prefix - np.arange(prefix)).astype(np.uint8)
         best_d = np.full((len(ids), k), np.inf, np.float32)
-        best_i = np.full((len(ids), k), -1, np.int64)
-        place = np.arange(width)[None, :]
-        walked = place < probes[:, None]
+        best_i = np.full((len(ids), k), -1, np.int64)  # row in this slice
+        walked = held & (place < got.column("probes").to_numpy()[:, None])
         posted = np.flatnonzero(posts)
         posted = posted[np.argsort(perm[posted, 0], kind="stable")]
         files = np.split(posted, np.flatnonzero(np.diff(perm[posted, 0])) + 1) if len(posted) else []
@@ -150,8 +155,9 @@ def _walk(options: Permutations, k: int):
             asking = asks_row[a:b]
             if not len(asking):
                 continue
-            index = np.zeros((len(local), len(file)), np.uint8)
+            index = np.zeros((len(local) + 1, len(file)), np.uint8)
             index[perm[file, :prefix].T, np.arange(len(file))[None, :]] = weights[:, None]
+            index[len(local)] = 0
             px = x[file]
             squares = (px * px).sum(1)
             c = max(min(len(file), 2 * k), int(options.reranked * len(file)))
@@ -163,35 +169,42 @@ def _walk(options: Permutations, k: int):
                 if c < len(file):
                     score = footrule_scores(perm[q, :prefix], index, weights)
                     d[score < np.partition(score, len(file) - c, axis=1)[:, len(file) - c, None]] = np.inf
-                d[ids[file][None, :] == ids[q][:, None]] = np.inf
+                d[file[None, :] == q[:, None]] = np.inf
                 cand = np.argpartition(d, few - 1, axis=1)[:, :few]
                 out = np.isinf(np.take_along_axis(d, cand, 1))
                 diff = px[cand] - x[q][:, None, :]
                 d = np.einsum("qcw,qcw->qc", diff, diff)  # without the rounding of the expanded form
                 d[out] = np.inf
-                cid = np.where(out, -1, ids[file[cand]])
+                cid = np.where(out, -1, file[cand])
                 all_d, all_i = np.concatenate([best_d[q], d], 1), np.concatenate([best_i[q], cid], 1)
                 top = np.argpartition(all_d, k - 1, axis=1)[:, :k]
                 best_d[q], best_i[q] = np.take_along_axis(all_d, top, 1), np.take_along_axis(all_i, top, 1)
         row, col = np.nonzero(np.isfinite(best_d))
-        return pa.table({"rep": ids[row], "near": best_i[row, col], "d2": best_d[row, col].astype(np.float64)})
+        other = best_i[row, col]
+        return pa.table({"rep": ids[row], "near": ids[other], "d2": best_d[row, col], "own": copies[row], "copies": copies[other]})
 
     return run
 
 
+_FOUND = "rep bigint, near bigint, d2 float, own int, copies int"
+
+
 def nearest_classes(classes: DataFrame, k: int, options: Permutations = Permutations()) -> DataFrame:
-    """``rep, near, d2``: up to k near classes of each class, from every slice that it asked; the best k are still to be taken."""
+    """``rep, near, d2, own, copies``: up to k near classes of each class from every slice that it asked, with the sizes of both.
+
+    A class is posted in one slice, so no pair comes twice; the best k are still to be taken.
+    """
     import numpy as np
 
     spark = classes.sparkSession
-    reps = classes.where("id = rep").select("rep", "v")
+    reps = classes.where("id = rep").select("rep", "copies", "v")
     total = reps.count()
     n_pivots = int(min(options.most_pivots, max(2, -(-total // options.per_pivot))))
     drawn = reps.orderBy(F.xxhash64("rep", F.lit(11)), "rep").limit(n_pivots).select("v").toArrow().column(0)
     pivots = matrix(drawn) if len(drawn) else np.zeros((0, VECTOR_WIDTH), np.float32)
     n_pivots = len(pivots)
     if not n_pivots:
-        return spark.createDataFrame([], "rep bigint, near bigint, d2 double")
+        return spark.createDataFrame([], _FOUND)
     bucket = bucket_pivots(pivots, options.pivots_per_bucket)
     sent = spark.sparkContext.broadcast((pivots, bucket, pivot_groups(pivots, bucket, 8 * options.probes)))
     width = min(max(options.prefix, options.probes), n_pivots)
@@ -203,32 +216,37 @@ def nearest_classes(classes: DataFrame, k: int, options: Permutations = Permutat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column(1))
+            x = matrix(batch.column(2))
             perm, d = nearest_pivots(x, pivots, groups, width)
             far = np.float32(options.reach**2)
             probes = np.minimum(np.maximum((d <= np.maximum(d[:, :1], 1e-12) * far).sum(1), min(options.least_probes, width)), options.probes).astype(np.int32)
+            # the first buckets in the order of the pivots
             to = np.where(np.arange(width)[None, :] < probes[:, None], bucket[perm], -1)
-            first = np.ones(to.shape, bool)
-            order = np.argsort(to, axis=1, kind="stable")
-            ranked = np.take_along_axis(to, order, 1)
-            first[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
-            row, col = np.nonzero(first & (ranked >= 0))
-            goes = ranked[row, col]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(goes), pa.array(goes == bucket[perm[row, 0]]), batch.column(0).take(pa.array(row)), pa.array(probes[row]), as_lists(perm[row].astype(np.int32), len(row)), batch.column(1).take(pa.array(row))],
-                names=["bucket", "post", "rep", "probes", "perm", "v"],
-            )
-
-    # the bucket's place for the posting is the one of the nearest pivot; the rest of its rows only ask
-    sent_rows = reps.mapInArrow(represent, "bucket int, post boolean, rep bigint, probes int, perm array<int>, v array<float>")
+            goes = np.full((len(x), options.buckets), -1, np.int32)
+            goes[:, 0] = to[:, 0]
+            for b in range(1, options.buckets):
+                other = (to >= 0) & ~(to[:, :, None] == goes[:, None, :b]).any(2)
+                at = other.argmax(1)
+                goes[:, b] = np.where(other.any(1), to[np.arange(len(x)), at], -1)
+            row, col = np.nonzero(goes >= 0)
+            kept = np.minimum(np.maximum(probes, min(options.prefix, width)), width)[row]
+            flat = perm[row][np.arange(width)[None, :] < kept[:, None]].astype(np.int16)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(flat))
+            names = ["bucket", "post", "rep", "copies", "probes", "perm", "v"]
+            took = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(goes[row, col]), pa.array(col == 0), took.column(0), took.column(1), pa.array(probes[row].astype(np.int16)), lists, took.column(2)], names=names)
+
+    sent_rows = reps.mapInArrow(represent, "bucket int, post boolean, rep bigint, copies int, probes smallint, perm array<smallint>, v array<float>")
     loads = reps.mapInArrow(_first_bucket(sent), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    slices = loads.select("bucket", F.ceil(F.col("n") / options.slice_rows).cast("int").alias("slices")).where("slices > 1")
-    sliced = sent_rows.join(F.broadcast(slices), "bucket", "left") if slices.limit(1).count() else sent_rows.withColumn("slices", F.lit(1))
-    sliced = sliced.withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
-    # a query goes to all slices, its posting to one
-    sliced = sliced.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    sliced = sliced.withColumn("post", F.col("post") & (F.col("slice") == F.col("own"))).select("bucket", "slice", "post", "rep", "probes", "perm", "v")
-    return sliced.groupBy("bucket", "slice").applyInArrow(_walk(options, k), "rep bigint, near bigint, d2 double")
+    slices = {r["bucket"]: -(-r["n"] // options.slice_rows) for r in loads.where(F.col("n") > options.slice_rows).collect()} if total > options.slice_rows else {}
+    slice_ = F.lit(0)
+    if slices:
+        # a query goes to all slices of a bucket, its posting to one
+        n = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in slices.items() for x in pair]), F.col("bucket")), F.lit(1)).cast("int")
+        sent_rows = sent_rows.withColumn("slice", F.explode(F.sequence(F.lit(0), n - 1)))
+        sent_rows = sent_rows.withColumn("post", F.col("post") & (F.col("slice") == F.pmod(F.xxhash64("rep"), n)))
+        slice_ = F.col("slice")
+    return sent_rows.withColumn("slice", slice_).groupBy("bucket", "slice").applyInArrow(_walk(options, k), _FOUND)
 
 
 def _first_bucket(sent):
@@ -239,12 +257,40 @@ def _first_bucket(sent):
         pivots, bucket, groups = sent.value
         for batch in batches:
             if batch.num_rows:
-                b, n = np.unique(bucket[nearest_pivots(matrix(batch.column(1)), pivots, groups, 1)[0][:, 0]], return_counts=True)
+                b, n = np.unique(bucket[nearest_pivots(matrix(batch.column(2)), pivots, groups, 1)[0][:, 0]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
 
     return run
 
 
+def _ranked(classes: DataFrame, k: int, options: Permutations) -> DataFrame:
+    """``rep, near, distance, own, copies, before``: near classes of which a key is among the k nearest of a key of ``rep``.
+
+    ``before`` counts the other keys that come before those of ``near``: those of the own class and of nearer classes.
+    """
+    by = Window.partitionBy("rep").orderBy("d2", "near")
+    best = nearest_classes(classes, k, options).withColumn("at", F.row_number().over(by)).where(F.col("at") <= k)
+    before = F.col("own") - 1 + F.coalesce(F.sum("copies").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    best = best.withColumn("before", before).where(F.col("before") < k)
+    return best.select("rep", "near", F.sqrt(F.col("d2").cast("double")).alias("distance"), "own", "copies", "before")
+
+
+def _by_key(classes: DataFrame, ranked: DataFrame, k: int, own_within: bool) -> DataFrame:
+    """``id, near, distance``: the pairs of keys behind pairs of classes, and those within a class. Only classes of several keys
+    are looked up; the first k + 1 keys of a class stand for it as neighbours."""
+    several = classes.where("copies > 1").select("rep", "id")
+    listed = several.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("at") <= k + 1).select("rep", F.col("id").alias("other"))
+    plain = ranked.where("copies = 1").withColumn("other", F.col("near"))
+    full = ranked.where("copies > 1").join(listed.withColumnRenamed("rep", "near"), "near").select(*plain.columns)
+    both = plain.unionByName(full)
+    single = both.where("own = 1").select(F.col("rep").alias("id"), "other", "distance")
+    copied = both.where("own > 1").join(several, "rep").select("id", "other", "distance")
+    out = single.unionByName(copied)
+    if own_within:
+        out = out.unionByName(several.join(listed, "rep").where("id <> other").select("id", "other", F.lit(0.0).alias("distance")))
+    return out.withColumnRenamed("other", "near")
+
+
 def nearest(df: DataFrame, k: int = 5, key: str = "icsd_id", vector: str = "pca32", order: str = "row_ix", options: Permutations = Permutations()) -> DataFrame:
     """``id, rk, near, distance``: the k nearest other keys of every key with a valid vector, ties by the smaller key.
 
@@ -256,21 +302,20 @@ def nearest(df: DataFrame, k: int = 5, key: str = "icsd_id", vector: str = "pca3
     if k < 1:
         raise ValueError("k must be at least 1")
     classes = stage(distinct_vectors(df, key, vector, order), "classes")
-    found = nearest_classes(classes, k, options)
-    best = found.groupBy("rep", "near").agg(F.min("d2").alias("d2"))
-    best = best.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("d2", "near"))).where(F.col("at") <= k)
-    # the first k + 1 keys of a class stand for it as neighbours; only classes of several keys have more than themselves
-    in_class = classes.where("copies > 1").select("rep", "id").withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("at") <= k + 1)
-    in_class = stage(in_class.select("rep", F.col("id").alias("other")), "copies")
-    spread = best.join(in_class.withColumnRenamed("rep", "near"), "near", "left")
-    spread = spread.select("rep", F.sqrt("d2").alias("distance"), F.coalesce("other", "near").alias("other"))
-    of_class = classes.select("id", "rep").join(spread, "rep").select("id", "other", "distance")
-    own = classes.where("copies > 1").select("id", "rep").join(in_class, "rep").where("id <> other").select("id", "other", F.lit(0.0).alias("distance"))
-    ranked = of_class.unionByName(own).withColumn("rk", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where(F.col("rk") <= k)
-    return ranked.select("id", "rk", F.col("other").alias("near"), "distance")
+    ranked = stage(_ranked(classes, k, options), "ranked")
+    pairs = _by_key(classes, ranked, k, True)
+    out = pairs.withColumn("rk", F.row_number().over(Window.partitionBy("id").orderBy("distance", "near"))).where(F.col("rk") <= k)
+    return out.select("id", "rk", "near", "distance")
 
 
 def close_pairs(df: DataFrame, within: float = 0.25, k: int = 5, key: str = "icsd_id", vector: str = "pca32", order: str = "row_ix", options: Permutations = Permutations()) -> DataFrame:
-    """``a, b`` with a < b: keys at most ``within`` apart, one of them among the k nearest of the other."""
-    near = nearest(df, k, key, vector, order, options).where(F.col("distance") <= within)
-    return near.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
+    """``a, b`` with a < b: keys at most ``within`` apart, one of them among the k nearest of the other. See ``nearest``.
+
+    Ranks are known before pairs of classes become pairs of keys, so only the close ones are carried on.
+    """
+    classes = stage(distinct_vectors(df, key, vector, order), "classes")
+    ranked = stage(_ranked(classes, k, options).where(F.col("distance") <= within), "close")
+    pairs = _by_key(classes, ranked, k, True)
+    # a class of several keys may reach beyond the k nearest
+    pairs = pairs.withColumn("rk", F.row_number().over(Window.partitionBy("id").orderBy("distance", "near"))).where(F.col("rk") <= k)
+    return pairs.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
