@@ -17,14 +17,18 @@ def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.one_per_key(table(spark, sf_dir, "node_events"), "community", "distance_to_centroid", "icsd_id", "ingest_ts")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned = table(spark, sf_dir, "community_assignments").select("icsd_id").where(F.col("icsd_id").isNotNull())
+    return table(spark, sf_dir, "frozen_vectors").select("icsd_id", "row_ix", "pca32").join(assigned, "icsd_id", "left_semi")
+
+
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assigned = table(spark, sf_dir, "community_assignments").select("icsd_id").where(F.col("icsd_id").isNotNull()).distinct()
-    vectors = table(spark, sf_dir, "frozen_vectors").select("icsd_id", "row_ix", "pca32").join(assigned, "icsd_id", "left_semi")
-    return clusters.cluster_records(vectors)
+    vectors = _vectors(spark, sf_dir)
+    return clusters.member_distances(clusters.cluster_records(vectors), vectors)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.chain(_clusters(spark, sf_dir)).select(F.col("a").alias("icsd_id_a"), F.col("b").alias("icsd_id_b"))
+    return clusters.chain(clusters.cluster_records(_vectors(spark, sf_dir))).select(F.col("a").alias("icsd_id_a"), F.col("b").alias("icsd_id_b"))
 
 
 def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
