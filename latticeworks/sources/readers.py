@@ -179,7 +179,7 @@ CIF_TAGS = ["_chemical_name_mineral", "_chemical_name_common", "_chemical_name_s
 
 def cif_tags(text: Column, tags: list[str] = CIF_TAGS) -> Column:
     """MAP<STRING, STRING> of the tags that a CIF text gives; quotes are stripped, ``?`` and ``.`` are no values."""
-    value = lambda t: F.trim(F.regexp_replace(F.regexp_extract(text, rf"(?im)^{t}\s+(.+?)\s*$", 1), r"^['\"]|['\"]$", ""))
+    value = lambda t: F.trim(F.regexp_replace(F.regexp_extract(text, rf"(?im)^{t}[ \t]+(.+?)[ \t]*$", 1), r"^['\"]|['\"]$", ""))
     pairs = F.array(*[F.struct(F.lit(t).alias("k"), value(t).alias("v")) for t in tags])
     return F.map_from_entries(F.filter(pairs, lambda p: ~p["v"].isin("", "?", ".")))
 
