@@ -2,36 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-VECTOR_WIDTH = 32
-
+from ..session import shared_dir, stage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share.
+__all__ = ["VECTOR_WIDTH", "as_lists", "distinct_vectors", "is_vector", "matrix", "shared_dir", "stage", "table"]
 
-    Only a session in one JVM may go without the setting; it gets a temporary folder of its own.
-    """
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = getattr(shared_dir, "made", None)
-    if made is None:
-        made = shared_dir.made = tempfile.mkdtemp(prefix="latticeworks-")
-    return "file://" + made
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that a lost executor costs one stage at most."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+VECTOR_WIDTH = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,12 +28,12 @@ class Permutations:
     per_pivot: int = 128  #: vectors per pivot
     most_pivots: int = 32767
     prefix: int = 8  #: places of a permutation that footrule compares, 21 at most
-    probes: int = 32  #: files walked at most
-    least_probes: int = 4
-    reach: float = 1.3  #: files of pivots up to this many times as far as the nearest are walked
-    reranked: float = 0.75  #: share of a file, the best by footrule, that is compared exactly
+    probes: int = 64  #: files walked at most
+    least_probes: int = 8
+    reach: float = 1.35  #: files of pivots up to this many times as far as the nearest are walked
+    reranked: float = 0.85  #: share of a file, the best by footrule, that is compared exactly
     pivots_per_bucket: int = 128
-    buckets: int = 2  #: a query walks files in this many buckets at most
+    buckets: int = 3  #: a query walks files in this many buckets at most
     slice_rows: int = 32768  #: postings per task
 
 
