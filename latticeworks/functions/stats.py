@@ -130,12 +130,19 @@ def bootstrap(df: DataFrame, by: list[str], flag: str, replicas: int = 1000, see
 
 
 def permuted(df: DataFrame, key: str, value: str, replicas: int, seed: int = 0) -> DataFrame:
-    """``replica, key, value``: in each replica the values dealt anew to the keys.
+    """``replica, key, value``: in each replica the values dealt anew to the keys, which are distinct numbers.
 
-    The i-th key in the order of the replica's hash gets the i-th value in key order. Each replica is a partition of a window.
+    The i-th key in the order of the replica's hash gets the i-th value in key order. Rows of each replica are numbered in
+    buckets of the hash, whose counts are added up first, so a replica is not ordered by one task.
     """
-    ordered = df.select(key, value).withColumn("_i", F.row_number().over(Window.orderBy(key)))
-    copies = ordered.crossJoin(F.broadcast(df.sparkSession.range(replicas).withColumnRenamed("id", "replica")))
-    dealt = copies.withColumn("_j", F.row_number().over(Window.partitionBy("replica").orderBy(F.xxhash64(key, "replica", F.lit(seed)), key)))
+    from ..operators.tables import row_numbers
+
+    buckets = 64
+    ordered = row_numbers(df.select(key, value), [key], "_i")
+    copies = ordered.select(key).crossJoin(F.broadcast(df.sparkSession.range(replicas).withColumnRenamed("id", "replica")))
+    copies = copies.withColumn("_h", F.xxhash64(key, "replica", F.lit(seed))).withColumn("_b", F.floor(F.col("_h") / F.lit(2.0**63) * (buckets // 2)).cast("int"))
+    counts = copies.groupBy("replica", "_b").agg(F.count("*").alias("_n"))
+    before = counts.select("replica", "_b", F.coalesce(F.sum("_n").over(Window.partitionBy("replica").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    dealt = copies.join(before, ["replica", "_b"]).withColumn("_j", F.col("_before") + F.row_number().over(Window.partitionBy("replica", "_b").orderBy("_h", key)))
     values = ordered.select(F.col("_i").alias("_j"), F.col(value).alias("_v"))
     return dealt.join(values, "_j").select("replica", key, F.col("_v").alias(value))

@@ -94,11 +94,31 @@ def at_least_some(df: DataFrame, size: str, least: int, some: int, order: list[s
     return df.where(F.col(size) >= least).unionByName(best.where(F.col(size) < least))
 
 
+def row_numbers(df: DataFrame, order: list[str], out: str, buckets: int = 32) -> DataFrame:
+    """Adds each row's place, from 1, in the order given, whose first column is numeric and not null.
+
+    Rows fall into buckets between approximate quantiles of the first column; buckets are counted, and rows are numbered within
+    theirs, so no task orders all rows.
+    """
+    edges = sorted(set(df.approxQuantile(order[0], [k / buckets for k in range(1, buckets)], 1 / (4 * buckets))))
+    bucket = sum((F.when(F.col(order[0]) > e, 1).otherwise(0) for e in edges), F.lit(0)) if edges else F.lit(0)
+    rows = df.withColumn("_b", bucket)
+    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # one row per bucket
+    return rows.join(F.broadcast(before), "_b").withColumn(out, F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(*order))).drop("_b", "_before")
+
+
 def quartiles(df: DataFrame, order: list[str], out: str = "quartile", by: list[str] = ()) -> DataFrame:
-    """Adds 0 to 3: quarters of n // 4 rows (at least one), what is left over in the last."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    q = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / 4))
-    return df.withColumn(out, F.least(F.floor((F.row_number().over(w.orderBy(*order)) - 1) / q), F.lit(3)).cast("int"))
+    """Adds 0 to 3: quarters of n // 4 rows (at least one), what is left over in the last. Without ``by`` the first column of
+    the order must be numeric; see ``row_numbers``."""
+    if by:
+        w = Window.partitionBy(*by)
+        q = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / 4))
+        return df.withColumn(out, F.least(F.floor((F.row_number().over(w.orderBy(*order)) - 1) / q), F.lit(3)).cast("int"))
+    total = df.agg(F.greatest(F.lit(1), F.floor(F.count("*") / 4)).alias("_q"))
+    placed = row_numbers(df, order, "_at").crossJoin(F.broadcast(total))  # one row
+    return placed.withColumn(out, F.least(F.floor((F.col("_at") - 1) / F.col("_q")), F.lit(3)).cast("int")).drop("_at", "_q")
 
 
 def centre(df: DataFrame, by: str, x: str, least: int, out: str) -> DataFrame:
