@@ -128,36 +128,28 @@ def _walk(options: Permutations, k: int):
         got = got.combine_chunks()
         ids, x = got.column("rep").to_numpy(), matrix(got.column("v"))
         copies, posts = got.column("copies").to_numpy(), got.column("post").to_numpy(zero_copy_only=False)
-        lists = got.column("perm").combine_chunks()
-        sizes = lists.value_lengths().to_numpy()
-        # permutations of different length in one table; what is missing is a pivot of its own, in no file
-        local, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        width = int(sizes.max())
-        place = np.arange(width)[None, :]
-        held = place < sizes[:, None]
-        perm = np.full(held.shape, len(local), np.int32)
-        perm[held] = flat
-        prefix = min(width, options.prefix)  # the sum of the weights, 78 of 12, must fit a byte
+        prefix = got.column("perm").combine_chunks().value_lengths()[0].as_py()  # the sum of the weights, 36 of 8, must fit a byte
+        whole = got.column("perm").combine_chunks().flatten().to_numpy().reshape(-1, prefix)
+        local, flat = np.unique(whole, return_inverse=True)
+        perm = flat.reshape(whole.shape).astype(np.int32)
         weights = (prefix - np.arange(prefix)).astype(np.uint8)
         best_d = np.full((len(ids), k), np.inf, np.float32)
         best_i = np.full((len(ids), k), -1, np.int64)  # row in this slice
-        walked = held & (place < got.column("probes").to_numpy()[:, None])
         posted = np.flatnonzero(posts)
-        posted = posted[np.argsort(perm[posted, 0], kind="stable")]
-        files = np.split(posted, np.flatnonzero(np.diff(perm[posted, 0])) + 1) if len(posted) else []
-        asks_row, asks_place = np.nonzero(walked)
-        asks_pivot = perm[asks_row, asks_place]
+        posted = posted[np.argsort(whole[posted, 0], kind="stable")]
+        files = np.split(posted, np.flatnonzero(np.diff(whole[posted, 0])) + 1) if len(posted) else []
+        asks = got.column("asks").combine_chunks()
+        asks_row, asks_pivot = np.repeat(np.arange(len(ids)), asks.value_lengths().to_numpy()), asks.flatten().to_numpy()
         order = np.argsort(asks_pivot, kind="stable")
         asks_row, asks_pivot = asks_row[order], asks_pivot[order]
         for file in files:
-            pivot = perm[file[0], 0]
+            pivot = whole[file[0], 0]
             a, b = np.searchsorted(asks_pivot, [pivot, pivot + 1])
             asking = asks_row[a:b]
             if not len(asking):
                 continue
-            index = np.zeros((len(local) + 1, len(file)), np.uint8)
-            index[perm[file, :prefix].T, np.arange(len(file))[None, :]] = weights[:, None]
-            index[len(local)] = 0
+            index = np.zeros((len(local), len(file)), np.uint8)
+            index[perm[file].T, np.arange(len(file))[None, :]] = weights[:, None]
             px = x[file]
             squares = (px * px).sum(1)
             c = max(min(len(file), 2 * k), int(options.reranked * len(file)))
@@ -167,7 +159,7 @@ def _walk(options: Permutations, k: int):
                 q = asking[s : s + step]
                 d = squares - 2 * (x[q] @ px.T)
                 if c < len(file):
-                    score = footrule_scores(perm[q, :prefix], index, weights)
+                    score = footrule_scores(perm[q], index, weights)
                     d[score < np.partition(score, len(file) - c, axis=1)[:, len(file) - c, None]] = np.inf
                 d[file[None, :] == q[:, None]] = np.inf
                 cand = np.argpartition(d, few - 1, axis=1)[:, :few]
@@ -229,24 +221,23 @@ def nearest_classes(classes: DataFrame, k: int, options: Permutations = Permutat
                 at = other.argmax(1)
                 goes[:, b] = np.where(other.any(1), to[np.arange(len(x)), at], -1)
             row, col = np.nonzero(goes >= 0)
-            kept = np.minimum(np.maximum(probes, min(options.prefix, width)), width)[row]
-            flat = perm[row][np.arange(width)[None, :] < kept[:, None]].astype(np.int16)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(flat))
-            names = ["bucket", "post", "rep", "copies", "probes", "perm", "v"]
+            # of the walked files each bucket hears of its own
+            own = to[row] == goes[row, col][:, None]
+            own_ends = pa.array(np.concatenate([[0], np.cumsum(own.sum(1))]).astype(np.int32))
+            asks = pa.ListArray.from_arrays(own_ends, pa.array(perm[row][own].astype(np.int16)))
+            names = ["bucket", "post", "rep", "copies", "perm", "asks", "v"]
             took = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(goes[row, col]), pa.array(col == 0), took.column(0), took.column(1), pa.array(probes[row].astype(np.int16)), lists, took.column(2)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(goes[row, col]), pa.array(col == 0), took.column(0), took.column(1), as_lists(perm[row, : min(options.prefix, width)].astype(np.int16), len(row)), asks, took.column(2)], names=names)
 
-    sent_rows = reps.mapInArrow(represent, "bucket int, post boolean, rep bigint, copies int, probes smallint, perm array<smallint>, v array<float>")
+    sent_rows = reps.mapInArrow(represent, "bucket int, post boolean, rep bigint, copies int, perm array<smallint>, asks array<smallint>, v array<float>")
     loads = reps.mapInArrow(_first_bucket(sent), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     slices = {r["bucket"]: -(-r["n"] // options.slice_rows) for r in loads.where(F.col("n") > options.slice_rows).collect()} if total > options.slice_rows else {}
-    slice_ = F.lit(0)
     if slices:
         # a query goes to all slices of a bucket, its posting to one
         n = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in slices.items() for x in pair]), F.col("bucket")), F.lit(1)).cast("int")
         sent_rows = sent_rows.withColumn("slice", F.explode(F.sequence(F.lit(0), n - 1)))
         sent_rows = sent_rows.withColumn("post", F.col("post") & (F.col("slice") == F.pmod(F.xxhash64("rep"), n)))
-        slice_ = F.col("slice")
-    return sent_rows.withColumn("slice", slice_).groupBy("bucket", "slice").applyInArrow(_walk(options, k), _FOUND)
+    return sent_rows.groupBy("bucket", *["slice"] * bool(slices)).applyInArrow(_walk(options, k), _FOUND)
 
 
 def _first_bucket(sent):
