@@ -141,7 +141,7 @@ SHARD_ENTRY = "struct<data: struct<mat_id: string, formula: string, spg: int, e_
 def shards(spark: SparkSession, path: str | list[str], ehull: tuple[float, float] = (0.0, 0.1), most_sites: int = 256, known: DataFrame | None = None) -> DataFrame:
     """``material_id, formula, spg, ehull, n_sites`` of JSON shards, compressed or not, whose entries stand under ``entries`` or
     in a bare list. ``known(formula, spg)`` is left out; an entry without a space group is never known."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     entries = F.coalesce(F.from_json("value", f"struct<entries: array<{SHARD_ENTRY}>>")["entries"], F.from_json("value", f"array<{SHARD_ENTRY}>"))
     e = files.select(F.explode(entries).alias("e"))
     out = e.select(F.coalesce("e.data.mat_id", "e.entry_id").alias("material_id"), F.col("e.data.formula").alias("formula"), F.col("e.data.spg").alias("spg"), F.col("e.data.e_above_hull").alias("ehull"), F.size("e.structure.sites").alias("n_sites"))
@@ -152,7 +152,7 @@ def shards(spark: SparkSession, path: str | list[str], ehull: tuple[float, float
 def attribute_map(spark: SparkSession, path: str, attributes: list[str], formula: Column | None = None) -> DataFrame:
     """``formula`` and one column per attribute of a JSON object keyed by formula, whose values are numbers or lists of which
     the last counts. Keys that become equal keep the later one."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parsed = text.select(F.posexplode(F.from_json("value", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))))).select("pos", F.col("key").alias("formula"), F.col("value").alias("a"))
     number = lambda name: to_float(F.regexp_extract(F.col("a")[name], r"(-?[0-9][0-9.eE+-]*)[\s\]]*$", 1))
     cols = [F.coalesce(number(a), F.when(F.lower(F.col("a")[a]) == "true", 1.0), F.lit(0.0)).alias(a) for a in attributes]

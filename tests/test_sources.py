@@ -93,7 +93,7 @@ def test_attribute_map(spark, tmp_path):
 def test_cif_texts(spark, tmp_path):
     write(tmp_path / "x.cif", "data_1\n_chemical_name_mineral 'Spinel'\n_chemical_name_common ?\nTHEORETICAL structure\n")
     assert readers.cif_flags(spark, str(tmp_path)).first()["flagged"]
-    tags = spark.read.option("wholetext", True).text(str(tmp_path)).select(readers.cif_tags(F.col("value")).alias("t")).first()["t"]
+    tags = spark.read.text(str(tmp_path), wholetext=True).select(readers.cif_tags(F.col("value")).alias("t")).first()["t"]
     assert tags == {"_chemical_name_mineral": "Spinel"}
     assert spark.createDataFrame([("data:text/plain;base64,aGk=",)], "u string").select(readers.data_uri(F.col("u")).alias("b")).first()["b"] == b"hi"
 
