@@ -151,8 +151,8 @@ def _furthest(item, doc, changes: int) -> list[int]:
                 if k <= n and 0 <= k + e <= m and k > new.get(e, -1):
                     new[e] = k
         reach = {d: slide(i, d) for d, i in new.items()}
-        # a passage ends with a word that is there: a change behind the last one covers nothing
-        out.append(max([out[-1], *(reach[d] for d in reach if reach[d] > new[d])]))
+        # a change behind the last common word covers a word of the item as well, as long as the item has one
+        out.append(max([out[-1], *reach.values()]))
     return out
 
 
@@ -237,8 +237,8 @@ def _search(terms, positions, sizes, parts, grams, order, stands, bounds, lists_
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``key, item``: each document with each item of which it holds a passage.
 
-    A passage is at least 20 consecutive words of the item, at most one in ten of them changed, dropped or added; it begins and
-    ends with words that are there. Hyphenated words count as one. Null and empty texts and items of fewer words give nothing;
+    A passage is at least 20 consecutive words of the item, at most one in ten of them changed, dropped or added, also at its
+    ends. Hyphenated words count as one. Null and empty texts and items of fewer words give nothing;
     repeated items count once; copies of a document each give their rows. Other columns are ignored. The items are the stated
     query set: their words are counted first, and more than ``ITEM_WORDS`` are refused; call once per part of such a set.
     """
