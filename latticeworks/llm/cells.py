@@ -184,6 +184,28 @@ def links(ids, n, c, r, least: int):
     return src, dst, dist, reach
 
 
+def proposals(x, weight, name, rows, own: int, least: int, apart: float):
+    """The beginnings of the order of distances of each of ``rows`` that end at a gap of ``apart`` and hold ``least`` records, none
+    of them from behind the first ``own`` rows: (row, sum of the names within, rows within, squared width)."""
+    heavy = weight.astype(np.int64)
+    exact = x.astype(np.float64)
+    step = max(1, 4_000_000 // len(x))
+    for s in range(0, len(rows), step):
+        some = rows[s : s + step]
+        d = squared(exact[some], exact)
+        d[np.arange(len(some)), some] = 0
+        ranked = np.sort(d, axis=1)
+        following = np.append(ranked[:, 1:], np.full((len(some), 1), np.inf), 1)
+        # d is squared; a first outside row at 0 is one at 0 times the distance
+        gap = (following >= apart * apart * ranked * (1 - 1e-12)) & (following > ranked)
+        if least <= len(x):  # without copies the first rows cannot be enough
+            gap[:, : max(0, least - int(heavy.max()) - 1 if heavy.max() == 1 else 0)] = False
+        for i, k in zip(*np.nonzero(gap), strict=True):
+            inside = d[i] <= ranked[i, k]
+            if not inside[own:].any() and int(heavy[inside].sum()) >= least:
+                yield int(some[i]), int(name[inside].sum()), int(inside.sum()), float(ranked[i, k])
+
+
 def isolated(x, weight, own: int, least: int, apart: float):
     """The smallest isolated sets among the first ``own`` rows, the others being outside.
 
@@ -197,29 +219,10 @@ def isolated(x, weight, own: int, least: int, apart: float):
     name = np.random.default_rng(1).integers(1, 2**62, len(x), dtype=np.int64)
     votes: dict[tuple[int, int], int] = defaultdict(int)
     one: dict[tuple[int, int], tuple[int, float]] = {}
-    heavy = weight.astype(np.int64)
     exact = x.astype(np.float64)
-    step = max(1, 4_000_000 // len(x))
-    for s in range(0, own, step):
-        rows = np.arange(s, min(s + step, own))
-        d = squared(exact[rows], exact)
-        d[np.arange(len(rows)), rows] = 0
-        ranked = np.sort(d, axis=1)
-        following = np.append(ranked[:, 1:], np.full((len(rows), 1), np.inf), 1)
-        # d is squared; a first outside row at 0 is one at 0 times the distance
-        gap = (following >= apart * apart * ranked * (1 - 1e-12)) & (following > ranked)
-        if least <= len(x):  # without copies the first rows cannot be enough
-            gap[:, : max(0, least - int(heavy.max()) - 1 if heavy.max() == 1 else 0)] = False
-        for i, k in zip(*np.nonzero(gap), strict=True):
-            inside = d[i] <= ranked[i, k]
-            if inside[own:].any():
-                continue
-            size = int(heavy[inside].sum())
-            if size < least:
-                continue
-            key = int(name[inside].sum()), int(inside.sum())
-            votes[key] += 1
-            one[key] = int(rows[i]), float(ranked[i, k])
+    for i, total, count, width in proposals(x, weight, name, np.arange(own), own, least, apart):
+        votes[total, count] += 1
+        one[total, count] = i, width
     label, used, found = np.full(own, -1, np.int64), np.zeros(own, bool), 0
     for key in sorted((k for k, v in votes.items() if v == k[1]), key=lambda k: k[1]):
         i, width = one[key]

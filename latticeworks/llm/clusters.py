@@ -6,12 +6,11 @@
    64 rows, and single rows.
 3. A cluster that a split has cut lies in several units. Units meet again in views: cells of two other bisecting trees, fitted
    on the units, each unit in the three nearest of both. There parts of one cluster are linked; links make groups.
-4. In every group of at most ``exact_rows`` rows, with whatever else its views show near it, the smallest isolated sets are found
-   exactly. A larger group is one compact set; it stands if nothing else comes near, judged by centres and radii. What lies
-   within a group is first taken into it.
+4. In every group, with whatever else is near it, the smallest isolated sets are found exactly. What lies within a group is
+   first taken into it. A group of more than ``exact_rows`` rows is judged in blocks of rows, each against all rows of the group,
+   and its sets against the rows of all other units that come near; this is quadratic in the group.
 
-Equal vectors are one row with its copies throughout, so repeated records cost nothing, and no group of unbounded size meets in
-one task.
+Equal vectors are one row with its copies throughout, so repeated records cost nothing.
 """
 
 from __future__ import annotations
@@ -34,7 +33,9 @@ class Limits:
     unit_rows: int = 64
     view_units: int = 3000  #: units aimed at per view
     views: int = 3  #: views of each tree that a unit is in
-    exact_rows: int = 4096
+    exact_rows: int = 4096  #: distinct vectors; larger groups are judged in blocks
+    block_rows: int = 2048
+    blocks: int = 64  #: of a group at most, each of which gets all its rows
     widest: float = 0.5  #: largest rms radius of a unit, as a part of that of all rows
 
 
@@ -214,7 +215,7 @@ def grouped(units: DataFrame, pairs: DataFrame, most_rounds: int = 40) -> DataFr
 
 
 def _surroundings(limits: Limits):
-    """In a view, units of other groups: near a small group (kind 0), too near a large one (kind 1), or within a group (kind 2).
+    """In a view, units of other groups: near a group (kind 0) or within it (kind 2).
 
     Members of a set whose largest distance is w lie within 0.75 w of its centre, and what is 1.3 w from all of them lies beyond
     1.1 w of it; 1.9 rms radii part the two. A unit within was cut off from its group by a split, or the group is not isolated
@@ -228,10 +229,9 @@ def _surroundings(limits: Limits):
         from .cells import squared
 
         got = got.combine_chunks()
-        unit, n, c = got.column("unit").to_numpy(), got.column("n").to_numpy(), matrix(got.column("c"))
+        unit, c = got.column("unit").to_numpy(), matrix(got.column("c"))
         grp, gn = got.column("grp").to_numpy(), got.column("gn").to_numpy()
-        gc, gr, grms, radius, rms = matrix(got.column("gc")), got.column("gradius").to_numpy(), got.column("grms").to_numpy(), got.column("radius").to_numpy(), got.column("rms").to_numpy()
-        del n
+        gc, gr, grms, radius = matrix(got.column("gc")), got.column("gradius").to_numpy(), got.column("grms").to_numpy(), got.column("radius").to_numpy()
         _, one = np.unique(grp, return_index=True)
         one = one[gn[one] >= limits.least]
         out_g, out_u, out_k = [], [], []
@@ -240,12 +240,10 @@ def _surroundings(limits: Limits):
             g = one[s : s + step]
             d = np.sqrt(squared(gc[g], c))
             foreign = grp[g][:, None] != grp[None, :]
-            small = (gn[g] <= limits.exact_rows)[:, None]
-            within = foreign & (d <= 1.9 * grms[g][:, None]) & (~small | (gn[g][:, None] + gn[None, :] <= limits.exact_rows))
+            within = foreign & (d <= 1.9 * grms[g][:, None])
             # no member lies further from the centre than the radius, no two further apart than twice that
-            near = foreign & small & ~within & (d - radius[None, :] - gr[g][:, None] < 2 * limits.apart * gr[g][:, None])
-            close = foreign & ~small & ~within & (d - 0.7 * rms[None, :] < 3.0 * grms[g][:, None])
-            for kind, mask in ((0, near), (1, close), (2, within)):
+            near = foreign & ~within & (d - radius[None, :] - gr[g][:, None] < 2 * limits.apart * gr[g][:, None])
+            for kind, mask in ((0, near), (2, within)):
                 a, b = np.nonzero(mask)
                 out_g.append(grp[g][a])
                 out_u.append(unit[b])
@@ -293,6 +291,109 @@ def _isolate(limits: Limits):
     return run
 
 
+def _off(v: str, centre: str):
+    return F.sqrt(F.aggregate(F.zip_with(v, centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e.cast("double")))
+
+
+def _propose(limits: Limits):
+    """Of a block of a large group's rows, beside all rows of the group: the sets that each row proposes."""
+
+    def run(got):
+        import numpy as np
+        import pyarrow as pa
+
+        from .cells import proposals
+
+        got = got.combine_chunks()
+        grp, ids, copies, name, x = got.column("grp").to_numpy(), got.column("id").to_numpy(), got.column("copies").to_numpy(), got.column("name").to_numpy(), matrix(got.column("v"))
+        mine = np.flatnonzero(got.column("mine").to_numpy(zero_copy_only=False))
+        said = list(proposals(x, copies, name, mine, len(x), limits.least, limits.apart))
+        at, total, count, width = zip(*said, strict=True) if said else ((), (), (), ())
+        at = np.array(at, np.int64)
+        return pa.table({"grp": grp[at], "id": ids[at], "total": pa.array(total, pa.int64()), "count": pa.array(count, pa.int64()), "width": pa.array(np.sqrt(np.array(width, float)), pa.float64())})
+
+    return run
+
+
+def _reached(sent):
+    """Which sets the units come so near that rows of theirs may undo them."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from .cells import squared
+
+        names, centres, clear = sent.value
+        for batch in batches:
+            unit, c, radius = batch.column(0).to_numpy(), matrix(batch.column(1)).astype(np.float64), batch.column(2).to_numpy()
+            step = max(1, 2_000_000 // max(len(names), 1))
+            for s in range(0, len(unit), step):
+                a, b = np.nonzero(np.sqrt(squared(c[s : s + step], centres)) - radius[s : s + step, None] < clear[None, :])
+                yield pa.RecordBatch.from_arrays([pa.array(unit[s : s + step][a]), pa.array(names[b])], names=["unit", "cluster"])
+
+    return run
+
+
+def _undone(limits: Limits):
+    """Of a block of a set's rows, beside what is near the set: its name if a row outside is too near one within."""
+
+    def run(got):
+        import numpy as np
+        import pyarrow as pa
+
+        from .cells import squared
+
+        got = got.combine_chunks()
+        foreign, width, x = got.column("foreign").to_numpy(zero_copy_only=False), got.column("width").to_numpy(), matrix(got.column("v")).astype(np.float64)
+        own, width, other = x[~foreign], width[~foreign] ** 2, x[foreign]
+        step, hit = max(1, 4_000_000 // max(len(other), 1)), False
+        for s in range(0, len(own) if len(other) else 0, step):
+            nearest = squared(own[s : s + step], other).min(1)
+            w = width[s : s + step]
+            hit = hit or bool(((nearest < limits.apart**2 * w * (1 - 1e-12)) | (nearest <= w)).any())
+        return pa.table({"cluster": got.column("cluster")[: int(hit)]})
+
+    return run
+
+
+def _isolate_large(rows: DataFrame, large: DataFrame, units: DataFrame, limits: Limits) -> DataFrame:
+    """``rep, cluster``: the smallest isolated sets of groups of any size.
+
+    As in ``cells.isolated``, a set stands if all its rows propose it; here the rows propose in blocks and are counted afterwards.
+    Rows of other groups can only undo a set; they are looked for in all units.
+    """
+    import numpy as np
+
+    spark = rows.sparkSession
+    n = F.least(F.ceil(F.col("held") / limits.block_rows), F.lit(limits.blocks)).cast("int")
+    own = rows.join(large.withColumn("n", n), "grp").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("n")).cast("int"))
+    own = stage(own.select("grp", "id", "copies", "v", "unit", F.xxhash64("id").alias("name"), "block", "n"), "large_rows")
+    sent = own.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("grp", "id", "copies", "v", "name", "to", (F.col("to") == F.col("block")).alias("mine"))
+    said = stage(sent.groupBy("grp", "to").applyInArrow(_propose(limits), "grp bigint, id bigint, total bigint, count bigint, width double"), "proposals")
+    key = ["grp", "total", "count"]
+    whole = said.groupBy(key).agg(F.count("*").alias("votes")).where("votes = count").select(key)
+    # isolated sets are nested or disjoint; one that holds a smaller one has a row of which it is not the smallest
+    first = said.join(whole, key).withColumn("least", F.min("count").over(Window.partitionBy("grp", "id"))).where(F.col("least") == F.col("count"))
+    named = first.withColumn("held", F.count("*").over(Window.partitionBy(key))).where(F.col("held") == F.col("count"))
+    named = named.select("grp", "id", "width", F.min("id").over(Window.partitionBy(key)).alias("cluster"))
+    found = stage(named.join(own.select("id", "v", "block"), "id"), "large_sets")
+    mean = found.select("cluster", F.posexplode("v").alias("k", "e")).groupBy("cluster", "k").agg(F.avg(F.col("e").cast("double")).alias("e"))
+    centre = mean.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "e"))), lambda s: s["e"]).alias("centre"))
+    shape = found.join(centre, "cluster").groupBy("cluster", "grp").agg(F.first("centre").alias("centre"), ((F.max(_off("v", "centre")) + limits.apart * F.max("width")) * (1 + 1e-6)).alias("clear"))
+    shape = stage(shape, "large_shapes")
+    held = shape.toPandas()
+    sent_sets = spark.sparkContext.broadcast((held.cluster.to_numpy(np.int64), np.array(held.centre.tolist(), np.float64).reshape(len(held), -1), held.clear.to_numpy(float)))
+    near = units.select("unit", "c", "radius").mapInArrow(_reached(sent_sets), "unit bigint, cluster bigint") if len(held) else spark.createDataFrame([], "unit bigint, cluster bigint")
+    near = near.join(shape.withColumnRenamed("grp", "home"), "cluster").join(rows.select("unit", "grp", "id", "v"), "unit").where(F.col("grp") != F.col("home"))
+    near = stage(near.where(_off("v", "centre") < F.col("clear")).select("cluster", "v"), "large_near")
+    blocks = found.select("cluster", "block").distinct().join(near.select("cluster").distinct(), "cluster")
+    both = found.join(blocks, ["cluster", "block"]).select("cluster", "block", "v", "width", F.lit(False).alias("foreign"))
+    both = both.unionByName(near.join(blocks, "cluster").select("cluster", "block", "v", F.lit(0.0).alias("width"), F.lit(True).alias("foreign")))
+    undone = both.groupBy("cluster", "block").applyInArrow(_undone(limits), "cluster bigint").distinct()
+    return found.join(undone, "cluster", "left_anti").select(F.col("id").alias("rep"), "cluster")
+
+
 def cluster_records(df: DataFrame, key: str = "icsd_id", vector: str = "pca32", order: str = "row_ix", limits: Limits = Limits()) -> DataFrame:
     """``id, cluster``: the records that belong to a cluster, named by its smallest record.
 
@@ -319,7 +420,7 @@ def cluster_records(df: DataFrame, key: str = "icsd_id", vector: str = "pca32",
         F.sum("n").alias("gn"), F.max(F.col("off") + F.col("radius")).alias("gradius"), F.sqrt(F.sum(F.col("n") * (F.col("off") ** 2 + F.col("rms") ** 2)) / F.sum("n")).alias("grms"), F.first("gc").alias("gc")
     )
     known = stage(parts.join(shape, "grp"), "groups")
-    around = view(known, limits, ["unit", "n", "c", "rms", "radius", "grp", "gn", "gc", "gradius", "grms"])
+    around = view(known, limits, ["unit", "c", "radius", "grp", "gn", "gc", "gradius", "grms"])
     around = stage(around.groupBy("cell").applyInArrow(_surroundings(limits), "grp bigint, unit bigint, kind int"), "around")
     within = around.where("kind = 2").select("grp", "unit").distinct()
     if within.limit(1).count():
@@ -329,26 +430,26 @@ def cluster_records(df: DataFrame, key: str = "icsd_id", vector: str = "pca32",
         around = around.join(renamed.withColumnRenamed("old", "grp"), "grp").select(F.col("new").alias("grp"), "unit", "kind")
         around = around.join(labels.withColumnRenamed("grp", "own"), "unit").where(F.col("own") != F.col("grp")).drop("own")
     rows = members.select("id", "copies", "v", "unit").join(labels, "unit")
-    sizes = units.select("unit", "n").join(labels, "unit").groupBy("grp").agg(F.sum("n").alias("gn"))
-    small = sizes.where((F.col("gn") >= limits.least) & (F.col("gn") <= limits.exact_rows)).select("grp")
-    large = sizes.where(F.col("gn") > limits.exact_rows).join(around.where("kind = 1").select("grp").distinct(), "grp", "left_anti").select("grp")
+    sizes = rows.groupBy("grp").agg(F.sum("copies").alias("gn"), F.count("*").alias("held")).where(F.col("gn") >= limits.least)
+    small = sizes.where(F.col("held") <= limits.exact_rows).select("grp")
+    large = stage(sizes.where(F.col("held") > limits.exact_rows).select("grp", "held"), "large")
     own = rows.join(small, "grp").select("grp", "id", "copies", "v", F.lit(False).alias("foreign"))
     found = stage(own.groupBy("grp").applyInArrow(_isolate(limits), _SETS), "sets")
     # what is outside a group can only undo a set, and with it all that hold it; most sets are clear of everything
     sets = found.where(F.col("centre").isNotNull()).select("cluster", "centre", "clear")
     grp_of = labels.select(F.col("unit").alias("u"), "grp").join(members.select(F.col("id").alias("cluster"), F.col("unit").alias("u")), "u").select("cluster", "grp")
     sets = sets.join(grp_of, "cluster")
-    gap = lambda v: F.sqrt(F.aggregate(F.zip_with(v, "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e.cast("double")))
     near = around.where("kind = 0").select("grp", "unit").distinct().join(sets, "grp").join(units.select("unit", "c", "radius"), "unit")
-    near = near.where(gap("c") - F.col("radius") < F.col("clear")).select("unit", "cluster", "centre", "clear")
-    close = near.join(members.select("unit", "id", "copies", "v"), "unit").where(gap("v") < F.col("clear")).select("cluster", "id", "copies", "v")
+    near = near.where(_off("c", "centre") - F.col("radius") < F.col("clear")).select("unit", "cluster", "centre", "clear")
+    close = near.join(members.select("unit", "id", "copies", "v"), "unit").where(_off("v", "centre") < F.col("clear")).select("cluster", "id", "copies", "v")
     close = stage(close, "close")
     doubted = close.select("cluster").distinct()
     again = found.join(doubted, "cluster").select("cluster", F.col("rep").alias("id")).join(members.select("id", "copies", "v"), "id").select("cluster", "id", "copies", "v", F.lit(False).alias("foreign"))
     again = again.unionByName(close.withColumn("foreign", F.lit(True))).withColumnRenamed("cluster", "grp").groupBy("grp").applyInArrow(_isolate(limits), _SETS)
     clear = found.select("rep", "cluster").join(doubted, "cluster", "left_anti").unionByName(again.select("rep", "cluster"))
-    whole = rows.join(large, "grp").select(F.col("id").alias("rep"), F.col("grp").alias("cluster"))
-    of_rep = clear.select("rep", "cluster").unionByName(whole)
+    of_rep = clear.select("rep", "cluster")
+    if large.limit(1).count():
+        of_rep = of_rep.unionByName(_isolate_large(rows, large, units, limits))
     return stage(classes.select("id", "rep").join(of_rep, "rep").select("id", "cluster"), "clusters")
 
 

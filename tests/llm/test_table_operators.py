@@ -187,6 +187,22 @@ def test_clusters_equal_the_definition(spark, seed, limits):
     assert chained == {(1000 + a, 1000 + b) for s in ordered for a, b in zip(s, s[1:], strict=False)}
 
 
+@pytest.mark.parametrize("exact_rows", [4, 20])
+def test_large_groups_equal_the_definition(spark, exact_rows):
+    x = sample_of_clusters(2)
+    # two clusters so near that they are linked, one of them spoilt by a record in between, and one with a record far enough off
+    at = np.zeros(32)
+    at[0] = 60
+    off = np.eye(32)[1] * 2.2
+    blobs = [grid(40, 71, 0.1, at), grid(40, 72, 0.1, at + off), grid(30, 73, 0.1, at * 2), (at * 2 + off * 0.45)[None], grid(30, 74, 0.1, at * 3), (at * 3 + off)[None]]
+    x = np.concatenate([x, *blobs]).astype(np.float32)
+    rows = [(1000 + i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in clusters.cluster_records(vectors(spark, rows), limits=clusters.Limits(exact_rows=exact_rows, block_rows=8)).collect():
+        got.setdefault(r["cluster"], set()).add(r["id"] - 1000)
+    assert {frozenset(s) for s in got.values()} == brute_clusters(x)
+
+
 def test_descriptions(spark):
     x = sample_of_clusters(1)
     df = vectors(spark, [(1000 + i, v.tolist()) for i, v in enumerate(x)])
