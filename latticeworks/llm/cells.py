@@ -142,7 +142,9 @@ def links(ids, n, c, r, least: int):
 
     A unit of ``least`` rows or more is linked to others of that size whose centre lies within 1.1 times both rms radii: parts
     of one cluster, since two sets each 1.3 times as far from the other as they are wide lie at least 1.17 radii apart. A
-    smaller one is linked to all that come before the first gap behind ``least`` rows; without a gap it is linked to nothing.
+    smaller one is linked to all that come before the first gap behind ``least`` rows. If ``NEAR`` units show no gap, all of the
+    view are looked at, and links lead to the nearest and to the smallest before the gap, which rows of one set have in common.
+    A unit that sees no gap in the view is linked to itself at an infinite reach: a set with it holds the whole view.
     """
     big = n >= least
     src, dst, dist, reach = [], [], [], []
@@ -181,6 +183,23 @@ def links(ids, n, c, r, least: int):
             dst += ids[part[i, :e]].tolist()
             dist += pd[i, :e].tolist()
             reach += [float(pd[i, e - 1])] * e
+        for i in np.flatnonzero(~gap.any(1)) if k < len(ids) - 1 else ():
+            unit = ids[rows[small[i]]]
+            by = np.argsort(ds[i], kind="stable")[:-1]  # the last is the unit itself
+            far = ds[i, by]
+            ends = np.flatnonzero((n[rows[small[i]]] + np.cumsum(n[by])[:-1] >= least) & (far[1:] >= GAP * far[:-1]))
+            if not len(ends):
+                src.append(unit)
+                dst.append(unit)
+                dist.append(0.0)
+                reach.append(np.inf)
+                continue
+            e = int(ends[0]) + 1
+            for v in {*by[:least].tolist(), int(by[:e][np.argmin(ids[by[:e]])])}:
+                src.append(unit)
+                dst.append(ids[v])
+                dist.append(float(ds[i, v]))
+                reach.append(float(far[e - 1]))
     return src, dst, dist, reach
 
 

@@ -34,7 +34,7 @@ class Limits:
     view_units: int = 3000  #: units aimed at per view
     views: int = 3  #: views of each tree that a unit is in
     exact_rows: int = 4096  #: distinct vectors; larger groups are judged in blocks
-    block_rows: int = 2048
+    block_rows: int = 8192
     blocks: int = 64  #: of a group at most, each of which gets all its rows
     widest: float = 0.5  #: largest rms radius of a unit, as a part of that of all rows
 
@@ -176,25 +176,26 @@ def _link(limits: Limits):
         ids, n, c, r = got.column("unit").to_numpy(), got.column("n").to_numpy(), matrix(got.column("c")), got.column("rms").to_numpy()
         order = np.argsort(ids, kind="stable")
         src, dst, dist, reach = links(ids[order], n[order], c[order], r[order], limits.least)
-        return pa.table({"a": pa.array(src, pa.int64()), "b": pa.array(dst, pa.int64()), "d": pa.array(dist, pa.float64()), "reach": pa.array(reach, pa.float64())})
+        return pa.table({"a": pa.array(src, pa.int64()), "b": pa.array(dst, pa.int64()), "d": pa.array(dist, pa.float64()), "reach": pa.array(reach, pa.float64()), "cell": pa.array([got.column("cell")[0].as_py()] * len(src), pa.int32())})
 
     return run
 
 
-def link_units(units: DataFrame, limits: Limits) -> DataFrame:
-    """``a, b``: units that belong together.
+def link_units(units: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
+    """``a, b``: units that belong together; and ``unit, cell``: small units that see no gap in a view.
 
     Each small unit is heard in the view in which its reach, the distance that its links span, is the shortest. Its link to
     another holds if it is no longer than the other's own neighbourhood allows: 1.6 times its reach, or 2.5 times the rms radius
     of a unit of many rows.
     """
-    said = view(units, limits, ["unit", "n", "c", "rms"]).groupBy("cell").applyInArrow(_link(limits), "a bigint, b bigint, d double, reach double")
+    said = view(units, limits, ["unit", "n", "c", "rms"]).groupBy("cell").applyInArrow(_link(limits), "a bigint, b bigint, d double, reach double, cell int")
     said = stage(said, "links")
+    lost, said = said.where("a = b").select(F.col("a").alias("unit"), "cell"), said.where("a <> b")
     best = said.groupBy("a").agg(F.min("reach").alias("best"))
     heard = said.join(best, "a").where(F.col("reach") <= F.col("best")).select("a", "b", "d").distinct()
     other = units.select(F.col("unit").alias("b"), "n", "rms").join(best.withColumnRenamed("a", "b"), "b", "left")
     held = heard.join(other, "b").where((F.col("d") == 0) | F.when(F.col("n") >= limits.least, F.col("d") <= 2.5 * F.col("rms")).otherwise(F.col("d") <= 1.6 * F.col("best")))
-    return held.select("a", "b")
+    return held.select("a", "b"), lost
 
 
 def grouped(units: DataFrame, pairs: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -394,6 +395,26 @@ def _isolate_large(rows: DataFrame, large: DataFrame, units: DataFrame, limits:
     return found.join(undone, "cluster", "left_anti").select(F.col("id").alias("rep"), "cluster")
 
 
+def _whole_views(members: DataFrame, units: DataFrame, lost: DataFrame, found: DataFrame, limits: Limits) -> DataFrame:
+    """``rep, cluster``: sets that hold whole views.
+
+    A set with a unit that sees no gap in a view holds all of the view. Sets hold no smaller ones, so there is none if a row of
+    the view is in a set that was ``found``, or if another such unit of it has been ruled out. Views that are left are one
+    group if they share a unit.
+    """
+    seen = stage(view(units, limits, ["unit", "c"]).select("unit", "cell"), "seen")
+    taken = found.select(F.col("rep").alias("id")).join(members.select("id", "unit"), "id").select("unit").distinct()
+    ruled = lost.join(seen.join(taken, "unit").select("cell").distinct(), "cell").select("unit")
+    live = lost.select("cell").distinct().join(seen.join(taken.unionByName(ruled).distinct(), "unit").select("cell").distinct(), "cell", "left_anti")
+    inside = stage(seen.join(live, "cell"), "whole_views")
+    if not inside.limit(1).count():
+        return found.where("false")
+    labels = grouped(inside.select("unit").distinct(), inside.select(F.col("unit").alias("a"), F.min("unit").over(Window.partitionBy("cell")).alias("b")))
+    rows = members.select("id", "copies", "v", "unit").join(labels, "unit", "left").withColumn("of", F.col("grp")).withColumn("grp", F.coalesce("grp", "unit"))
+    sizes = rows.where(F.col("of").isNotNull()).groupBy("grp").agg(F.sum("copies").alias("gn"), F.count("*").alias("held"))
+    return _isolate_large(rows.drop("of"), stage(sizes.where(F.col("gn") >= limits.least).select("grp", "held"), "large"), units, limits)
+
+
 def cluster_records(df: DataFrame, key: str = "icsd_id", vector: str = "pca32", order: str = "row_ix", limits: Limits = Limits()) -> DataFrame:
     """``id, cluster``: the records that belong to a cluster, named by its smallest record.
 
@@ -410,7 +431,8 @@ def cluster_records(df: DataFrame, key: str = "icsd_id", vector: str = "pca32",
     cells = route(reps, limits)
     members = stage(cells.groupBy("cell").applyInArrow(_make_units(limits, limits.widest * moments**0.5), _MEMBER), "members")
     units = members.where(F.col("c").isNotNull()).select("unit", "n", "c", "rms", "radius")
-    labels = grouped(units, link_units(units, limits))
+    pairs, lost = link_units(units, limits)
+    labels = grouped(units, pairs)
     # centre and radii of each group from its units
     parts = units.join(labels, "unit")
     mean = parts.select("grp", "n", F.posexplode("c").alias("k", "e")).groupBy("grp", "k").agg((F.sum(F.col("n") * F.col("e").cast("double")) / F.sum("n")).alias("e"))
@@ -450,6 +472,9 @@ def cluster_records(df: DataFrame, key: str = "icsd_id", vector: str = "pca32",
     of_rep = clear.select("rep", "cluster")
     if large.limit(1).count():
         of_rep = of_rep.unionByName(_isolate_large(rows, large, units, limits))
+    if lost.limit(1).count():
+        of_rep = stage(of_rep, "found")
+        of_rep = of_rep.unionByName(_whole_views(members, units, lost, of_rep, limits))
     return stage(classes.select("id", "rep").join(of_rep, "rep").select("id", "cluster"), "clusters")
 
 

@@ -203,6 +203,23 @@ def test_large_groups_equal_the_definition(spark, exact_rows):
     assert {frozenset(s) for s in got.values()} == brute_clusters(x)
 
 
+@pytest.mark.parametrize("kind", ["one", "third"])
+def test_wide_clusters_of_single_rows(spark, kind):
+    rng = np.random.default_rng(5)
+    if kind == "one":
+        x = rng.normal(size=(1000, 32)).astype(np.float32)
+    else:
+        # rows of uneven density, which stay single, and compact clusters far off
+        blob = rng.normal(size=(200, 32)) * np.exp(rng.normal(size=(200, 1)) * 0.7)
+        x = np.concatenate([blob, *[grid(40, 80 + k, 0.1, rng.normal(size=32) * 60) for k in range(10)]]).astype(np.float32)
+    label = isolated(x, np.ones(len(x), np.int64), len(x), 8, 1.3)
+    assert max(np.bincount(label[label >= 0])) >= 200
+    got = {}
+    for r in clusters.cluster_records(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect():
+        got.setdefault(r["cluster"], set()).add(r["id"])
+    assert {frozenset(s) for s in got.values()} == {frozenset(np.flatnonzero(label == k).tolist()) for k in range(label.max() + 1)}
+
+
 def test_descriptions(spark):
     x = sample_of_clusters(1)
     df = vectors(spark, [(1000 + i, v.tolist()) for i, v in enumerate(x)])
