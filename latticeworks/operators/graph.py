@@ -8,6 +8,7 @@ components beyond ``COMPONENT_EDGES``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,15 +147,18 @@ def weighted_clustering(edges: DataFrame) -> DataFrame:
     return out.select("node", F.when(F.col("degree") > 1, 2 * F.coalesce("g", F.lit(0.0)) / F.nullif(pairs, F.lit(0))).otherwise(0.0).alias("clustering"))
 
 
-def core_numbers(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def core_numbers(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """``node, core``: the largest k such that the node has k neighbours within the k-core.
 
     Every node starts with its degree and takes the h-index of its neighbours' values until none changes, which ends at the core
-    numbers; all nodes move at once, so rounds are few and each is one join.
+    numbers; all nodes move at once, so rounds are few and each is one join. Along a path one node moves in a round. If
+    ``most_rounds`` are not enough, that is an error.
     """
     both = stage(both_ways(edges.select("src", "dst")).distinct(), "edges")
     core = stage(degree(edges).select("node", F.col("degree").cast("int").alias("core")), "core")
-    for _ in range(most_rounds):
+    for done in count():
+        if done == most_rounds:
+            raise ValueError(f"core numbers still change after {most_rounds} rounds")
         seen = both.join(core.select(F.col("node").alias("b"), "core"), "b").groupBy("a", "core").agg(F.count("*").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("a").orderBy(F.desc("core")))
         h = seen.withColumn("upto", upto).groupBy(F.col("a").alias("node")).agg(F.max(F.least("core", F.col("upto").cast("int"))).alias("h"))

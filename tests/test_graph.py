@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from latticeworks.operators import embedding, graph, replay
@@ -54,6 +55,13 @@ def test_core_numbers_equal_peeling(spark):
     assert got == brute_core(pairs)
 
 
+def test_core_numbers_run_until_none_changes(spark):
+    path = edges(spark, [(k, k + 1, 1) for k in range(15)])
+    assert {r["core"] for r in graph.core_numbers(path).collect()} == {1}
+    with pytest.raises(ValueError, match="still change"):
+        graph.core_numbers(path, most_rounds=3)
+
+
 def test_knn_keeps_equal_vectors_and_not_itself(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, [9.0, 9.0])], "id bigint, v array<double>")
     got = [(r["src"], r["dst"], r["rk"]) for r in graph.knn(df, 2, "id", "v").orderBy("src", "rk").collect()]
