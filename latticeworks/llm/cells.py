@@ -203,6 +203,122 @@ def links(ids, n, c, r, least: int):
     return src, dst, dist, reach
 
 
+class Profiles:
+    """The orders of distances of the rows of a block within a group that is seen batch by batch, as far as gaps need them.
+
+    A gap in the order of all rows is a gap in the order of any of them. So each row's distances to a sample and to the nearest
+    of its block are sorted first; between two of them that are less than ``apart`` apart there can be no gap, and what falls
+    there is only counted. What falls into the open intervals, below the first, into gaps and above the last, is listed. The
+    sample grows with the group, so that a row lists some ``LISTED`` others whatever the size.
+    """
+
+    LISTED = 512
+
+    def __init__(self, ids, weight, name, x, held: int, least: int, apart: float):
+        self.ids, self.least, self.ratio = ids, least, apart * apart * (1 - 1e-12)
+        self.middle = x.astype(np.float64).mean(0)
+        self.x, self.weight, self.name = x - self.middle, weight.astype(np.int64), name
+        n = len(x)
+        sample = np.linspace(0, n - 1, min(n, max(256, held // self.LISTED))).astype(np.int64)
+        near = min(16, n - 1)
+        step = max(1, 2_000_000 // max(n, 1))
+        sample = np.unique(sample)
+        known = np.empty((n, len(sample) + near))
+        for s in range(0, n, step):
+            d = squared(self.x[s : s + step], self.x)
+            d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
+            nearest = np.partition(d, near - 1, axis=1)[:, :near] if near else d[:, :0]
+            known[s : s + step] = np.sort(np.concatenate([d[:, sample], nearest], 1), 1)
+        # a row's own place in the sample is infinite
+        self.low = known[:, 0] if known.shape[1] else np.full(n, np.inf)
+        finite = np.isfinite(known)
+        self.high = np.where(finite, known, -np.inf).max(1, initial=-np.inf)
+        a, b = known[:, :-1], known[:, 1:]
+        row, at = np.nonzero((b >= self.ratio * a) & (b > a) & np.isfinite(b))
+        self.gap_row, self.gap_a, self.gap_b = row, a[row, at], b[row, at]
+        self.inside = np.zeros((len(row), 4))  # rows, records and the halves of names up to a gap
+        self.seen = np.zeros(3, np.int64)  # rows, records, names of the group
+        self.lists: list = []
+        self.add(ids, weight, name, x, True)
+
+    def _list(self, row, d, weight, name):
+        self.lists.append((row.astype(np.int32), d, weight, name))
+
+    def add(self, ids, weight, name, x, own: bool = False):
+        weight = weight.astype(np.int64)
+        self.seen += np.array([len(x), weight.sum(), name.sum()], np.int64)
+        y = x - self.middle
+        halves = np.stack([np.ones(len(x)), weight.astype(float), (name & 0xFFFFFFFF).astype(float), (name >> 32).astype(float)], 1)
+        step = max(1, 2_000_000 // max(len(x), 1))
+        for s in range(0, len(self.x), step):
+            d = squared(self.x[s : s + step], y)
+            if own:
+                d[np.arange(len(d)), np.arange(s, s + len(d))] = -1  # itself
+            e = s + len(d)
+            out = (d < self.low[s:e, None]) | (d > self.high[s:e, None])
+            r, c = np.nonzero(out)
+            self._list(r + s, d[r, c], weight[c], name[c])
+            lo, hi = np.searchsorted(self.gap_row, [s, e])
+            for g in range(lo, hi, max(1, step)):
+                some = slice(g, min(g + max(1, step), hi))
+                at = d[self.gap_row[some] - s]
+                below = at <= self.gap_a[some, None]
+                self.inside[some] += below @ halves
+                r, c = np.nonzero(~below & (at < self.gap_b[some, None]))
+                self._list(self.gap_row[some][r], at[r, c], weight[c], name[c])
+
+    def proposals(self):
+        """(rows of the block, sums of the names within, rows within, widths) of beginnings that end at a gap and hold enough."""
+        row, first, weight, name = (np.concatenate(c) for c in zip(*self.lists, strict=True))
+        first, count = np.maximum(first, 0), np.ones(len(row), np.int64)
+        order = np.lexsort((first, row))
+        row, first, count, weight, name = (c[order] for c in (row, first, count, weight, name))
+        ends = np.searchsorted(row, np.arange(len(self.x) + 1))
+        sums = np.stack([np.concatenate([[0], np.cumsum(c)]) for c in (count, weight, name)], 1)
+
+        def listed(r, limit, right):
+            """Sums over what rows r list below (or up to) the limits."""
+            lo, hi = ends[r], ends[r + 1]
+            while (lo < hi).any():
+                mid = (lo + hi) // 2
+                at = first[np.minimum(mid, len(first) - 1)]
+                go = (lo < hi) & ((at <= limit) if right else (at < limit))
+                lo, hi = np.where(go, mid + 1, lo), np.where(go, hi, np.minimum(mid, hi))
+            return sums[lo] - sums[ends[r]]
+
+        # what is not listed lies in zones, which end at the gaps and at the last of the known distances
+        last_row = np.flatnonzero(np.isfinite(self.low))
+        halves = self.inside.astype(np.int64)
+        until = np.stack([halves[:, 0], halves[:, 1], halves[:, 2] + (halves[:, 3] << 32)], 1)
+        beyond = sums[ends[last_row + 1]] - sums[ends[last_row]] - listed(last_row, self.high[last_row], True)
+        z_row = np.concatenate([self.gap_row, last_row])
+        z_last = np.concatenate([self.gap_a, self.high[last_row]])
+        z_next = np.concatenate([self.gap_b, np.full(len(last_row), np.inf)])
+        until = np.concatenate([until, self.seen - beyond])
+        order = np.lexsort((z_last, z_row))
+        z_row, z_last, z_next, until = z_row[order], z_last[order], z_next[order], until[order]
+        later = np.flatnonzero(z_row[1:] == z_row[:-1]) + 1  # zones behind another of the same row
+        z_first = self.low[z_row]
+        z_first[later] = z_next[later - 1]
+        before = listed(z_row, z_first, False)
+        begun = before.copy()
+        begun[later] += until[later - 1] - before[later - 1]
+        held = until - begun
+        some = held[:, 0] > 0
+        row, first, last = np.concatenate([row, z_row[some]]), np.concatenate([first, z_first[some]]), np.concatenate([first, z_last[some]])
+        count, weight, name = (np.concatenate([c, held[some, k]]) for k, c in enumerate((count, weight, name)))
+        order = np.lexsort((last, first, row))
+        row, first, last = row[order], first[order], last[order]
+        start = np.searchsorted(row, row)
+        count, weight, name = (np.cumsum(c[order]) for c in (count, weight, name))
+        count, weight, name = (c - np.append(0, c)[start] for c in (count, weight, name))
+        following = np.append(np.where(row[1:] == row[:-1], first[1:], np.inf), np.inf)
+        at = np.flatnonzero((following >= self.ratio * last) & (following > last) & (weight >= self.least))
+        for s in range(0, len(at), 65536):
+            i = at[s : s + 65536]
+            yield row[i], name[i], count[i], np.sqrt(last[i])
+
+
 def proposals(x, weight, name, rows, own: int, least: int, apart: float):
     """The beginnings of the order of distances of each of ``rows`` that end at a gap of ``apart`` and hold ``least`` records, none
     of them from behind the first ``own`` rows: (row, sum of the names within, rows within, squared width)."""

@@ -18,10 +18,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import VECTOR_WIDTH, as_lists, distinct_vectors, matrix, stage
+from .common import VECTOR_WIDTH, as_lists, distinct_vectors, drawn, keep_staged, matrix, stage, staging
+
+#: Sets of large groups whose shapes are sent to the tasks at once.
+SETS_SENT = 20_000
 
 
 @dataclass(frozen=True)
@@ -35,14 +39,12 @@ class Limits:
     views: int = 3  #: views of each tree that a unit is in
     exact_rows: int = 4096  #: distinct vectors; larger groups are judged in blocks
     block_rows: int = 8192
-    blocks: int = 64  #: of a group at most, each of which gets all its rows
     widest: float = 0.5  #: largest rms radius of a unit, as a part of that of all rows
 
 
 def _route(centres, at: str = "v"):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
         top, below = centres.value
         for batch in batches:
@@ -67,36 +69,39 @@ def route(rows: DataFrame, limits: Limits) -> DataFrame:
 
     spark = rows.sparkSession
     total = rows.count()
-    drawn = matrix(rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(limits.sample).select("v").toArrow().column(0))
-    top, below = bisect(drawn, min(max(1, -(-total // limits.cell_rows)), max(1, len(drawn) // 16))), []
+    x = drawn(rows, "id", "v", limits.sample, total, 5)
+    top, below = bisect(x, min(max(1, -(-total // limits.cell_rows)), max(1, len(x) // 16))), []
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", cell int"
-    next_cell = len(top)
-    for _ in range(6):
+    next_cell, whole = len(top), set()
+    while True:
         routed = rows.mapInArrow(_route(spark.sparkContext.broadcast((top, below))), schema)
         if total <= 3 * limits.cell_rows:
-            break
-        large = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().where(F.col("count") > 3 * limits.cell_rows).collect()}
+            return routed
+        counts = routed.groupBy("cell").count().where(F.col("count") > 3 * limits.cell_rows).toArrow()
+        large = {c: n for c, n in zip(counts.column(0).to_pylist(), counts.column(1).to_pylist(), strict=True) if c not in whole}
+        # the largest first, as many as a sample serves
+        large = dict(sorted(large.items(), key=lambda p: (-p[1], p[0]))[: max(1, limits.sample // 256)])
         if not large:
-            break
-        each = max(64, limits.sample // len(large))
-        by = Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(7)), "id")
-        part = routed.where(F.col("cell").isin(list(large))).withColumn("at", F.row_number().over(by)).where(F.col("at") <= each).select("cell", "v").toArrow()
+            return routed
+        each = limits.sample // len(large)
+        share = F.create_map(*[F.lit(v) for c, n in large.items() for v in (c, int(2**31 * min(1, each / n)))])[F.col("cell")]
+        part = routed.where(F.pmod(F.xxhash64("id", F.lit(7 + len(below))), F.lit(2**31)) < share).sort("id").select("cell", "v").toArrow()
         cells, x, level = part.column("cell").to_numpy(), matrix(part.column("v")), {}
         for c, n in large.items():
-            own = bisect(x[cells == c], min(-(-n // limits.cell_rows) + 1, max(2, int((cells == c).sum()) // 8)))
+            own = x[cells == c]
+            own = bisect(own, min(-(-n // limits.cell_rows) + 1, max(2, len(own) // 8))) if len(own) > 1 else own
             if len(own) > 1:
                 level[c] = next_cell, own
                 next_cell += len(own)
-        if not level:
-            break
-        below = [*below, level]
-    return routed
+            else:
+                whole.add(c)
+        if level:
+            below = [*below, level]
 
 
 def _make_units(limits: Limits, widest: float):
     def run(got):
         import numpy as np
-        import pyarrow as pa
 
         from .cells import summaries, units
 
@@ -140,13 +145,12 @@ def view(units: DataFrame, limits: Limits, columns: list[str]) -> DataFrame:
 
     spark, total, trees = units.sparkSession, units.count(), []
     for seed in (17, 29):
-        drawn = matrix(units.orderBy(F.xxhash64("unit", F.lit(seed)), "unit").limit(limits.sample).select("c").toArrow().column(0))
-        trees.append(bisect(drawn, min(max(1, -(-total * limits.views // limits.view_units)), max(1, len(drawn) // 8))))
+        x = drawn(units, "unit", "c", limits.sample, total, seed)
+        trees.append(bisect(x, min(max(1, -(-total * limits.views // limits.view_units)), max(1, len(x) // 8))))
     sent = spark.sparkContext.broadcast(trees)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
         for batch in batches:
             if not batch.num_rows:
@@ -168,7 +172,6 @@ def view(units: DataFrame, limits: Limits, columns: list[str]) -> DataFrame:
 def _link(limits: Limits):
     def run(got):
         import numpy as np
-        import pyarrow as pa
 
         from .cells import links
 
@@ -198,12 +201,12 @@ def link_units(units: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
     return held.select("a", "b"), lost
 
 
-def grouped(units: DataFrame, pairs: DataFrame, most_rounds: int = 40) -> DataFrame:
+def grouped(units: DataFrame, pairs: DataFrame) -> DataFrame:
     """``unit, grp``: the smallest unit that links lead to. Labels travel along links and then to the label's own label, so
     rounds grow with the logarithm of the longest chain."""
     both = stage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
     labels = stage(units.select("unit", F.col("unit").alias("grp")), "labels")
-    for _ in range(most_rounds):
+    while True:
         around = both.join(labels.select(F.col("unit").alias("b"), "grp"), "b").groupBy("a").agg(F.min("grp").alias("low"))
         step = labels.join(around.withColumnRenamed("a", "unit"), "unit", "left").select("unit", "grp", F.least("grp", F.coalesce("low", "grp")).alias("new"))
         jump = step.select(F.col("unit").alias("new"), F.col("new").alias("further"))
@@ -211,8 +214,7 @@ def grouped(units: DataFrame, pairs: DataFrame, most_rounds: int = 40) -> DataFr
         moved = after.where("new < grp").limit(1).count()
         labels = after.select("unit", F.col("new").alias("grp"))
         if not moved:
-            break
-    return labels
+            return labels
 
 
 def _surroundings(limits: Limits):
@@ -225,7 +227,6 @@ def _surroundings(limits: Limits):
 
     def run(got):
         import numpy as np
-        import pyarrow as pa
 
         from .cells import squared
 
@@ -256,62 +257,77 @@ def _surroundings(limits: Limits):
 
 
 def _isolate(limits: Limits):
-    """The smallest isolated sets of a group, without or with rows of others near it.
-
-    The row that names a set also has its centre and how far from it anything outside must be to be surely far enough: the
-    radius plus ``apart`` times the largest distance within.
-    """
+    """The smallest isolated sets of a group, for each row the largest distance within. The row that names a set also has the
+    set's centre and how far from it anything outside must be to be surely far enough: the radius plus ``apart`` times the
+    largest distance within."""
 
     def run(got):
         import numpy as np
-        import pyarrow as pa
 
         from .cells import isolated, squared
 
         got = got.combine_chunks()
-        ids, copies, foreign = got.column("id").to_numpy(), got.column("copies").to_numpy(), got.column("foreign").to_numpy(zero_copy_only=False)
-        order = np.lexsort((ids, foreign))
-        ids, copies, x, own = ids[order], copies[order], matrix(got.column("v"))[order], int((~foreign).sum())
-        label = isolated(x, copies, own, limits.least, limits.apart) if own else np.zeros(0, np.int64)
+        ids = got.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, copies, x = ids[order], got.column("copies").to_numpy()[order], matrix(got.column("v"))[order]
+        label = isolated(x, copies, len(x), limits.least, limits.apart)
         keep = np.flatnonzero(label >= 0)
-        n = int(label.max()) + 1 if len(keep) else 0
-        first = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(first, label[keep], ids[keep])
-        rep, cluster = ids[keep], first[label[keep]] if len(keep) else np.zeros(0, np.int64)
-        centre, clear = [None] * len(keep), [None] * len(keep)
-        for k in range(n):
-            part = x[:own][label == k].astype(np.float64)
-            middle, widest = part.mean(0), 0.0
+        width, centre, clear, cluster = np.zeros(len(x)), [None] * len(x), [None] * len(x), np.zeros(len(x), np.int64)
+        for k in range(int(label.max(initial=-1)) + 1):
+            rows = np.flatnonzero(label == k)
+            part = x[rows].astype(np.float64)
             for s in range(0, len(part), 1024):
-                widest = max(widest, float(squared(part[s : s + 1024], part).max()))
-            at = int(np.flatnonzero(rep == first[k])[0])
-            centre[at] = middle.astype(np.float32).tolist()
-            clear[at] = float(np.sqrt(((part - middle) ** 2).sum(1).max()) + limits.apart * widest**0.5) * (1 + 1e-6)
-        return pa.table({"rep": pa.array(rep, pa.int64()), "cluster": pa.array(cluster, pa.int64()), "centre": pa.array(centre, pa.list_(pa.float32())), "clear": pa.array(clear, pa.float64())})
+                width[rows[s : s + 1024]] = np.sqrt(squared(part[s : s + 1024], part).max(1))
+            middle = part.mean(0)
+            cluster[rows] = ids[rows[0]]
+            centre[rows[0]] = middle.astype(np.float32).tolist()
+            clear[rows[0]] = float(np.sqrt(((part - middle) ** 2).sum(1).max()) + limits.apart * width[rows].max()) * (1 + 1e-6)
+        grp = got.column("grp")[0].as_py() if len(x) else 0
+        return pa.table({"rep": ids[keep], "cluster": cluster[keep], "width": width[keep], "grp": pa.array([grp] * len(keep), pa.int64()), "block": pa.array([0] * len(keep), pa.int32()), "centre": pa.array([centre[i] for i in keep], pa.list_(pa.float32())), "clear": pa.array([clear[i] for i in keep], pa.float64())})
 
     return run
 
 
+_SETS = "rep bigint, cluster bigint, width double, grp bigint, block int, centre array<float>, clear double"
+
+
 def _off(v: str, centre: str):
     return F.sqrt(F.aggregate(F.zip_with(v, centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e.cast("double")))
 
 
 def _propose(limits: Limits):
-    """Of a block of a large group's rows, beside all rows of the group: the sets that each row proposes."""
+    """Of a block of a large group's rows, which come first, beside all rows of the group, batch by batch: the sets that each
+    row proposes. What is held is the block and what of the group falls into gaps of its profiles, see ``cells.Profiles``."""
 
-    def run(got):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import pyarrow as pa
 
-        from .cells import proposals
+        from .cells import Profiles
 
-        got = got.combine_chunks()
-        grp, ids, copies, name, x = got.column("grp").to_numpy(), got.column("id").to_numpy(), got.column("copies").to_numpy(), got.column("name").to_numpy(), matrix(got.column("v"))
-        mine = np.flatnonzero(got.column("mine").to_numpy(zero_copy_only=False))
-        said = list(proposals(x, copies, name, mine, len(x), limits.least, limits.apart))
-        at, total, count, width = zip(*said, strict=True) if said else ((), (), (), ())
-        at = np.array(at, np.int64)
-        return pa.table({"grp": grp[at], "id": ids[at], "total": pa.array(total, pa.int64()), "count": pa.array(count, pa.int64()), "width": pa.array(np.sqrt(np.array(width, float)), pa.float64())})
+        profiles, own, grp = None, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grp, held = batch.column("grp")[0].as_py(), batch.column("held")[0].as_py()
+            part = [batch.column(c).to_numpy() for c in ("id", "copies", "name")] + [matrix(batch.column("v"))]
+            late = batch.column("late").to_numpy(zero_copy_only=False)
+            for mask in (~late, late):
+                if not mask.any():
+                    continue
+                some = [c[mask] for c in part]
+                if mask is late and profiles is None:
+                    profiles = Profiles(*(np.concatenate(c) for c in zip(*own, strict=True)), held, limits.least, limits.apart)
+                if mask is late:
+                    profiles.add(*some)
+                elif profiles is None:
+                    own.append(some)
+                else:
+                    raise RuntimeError("the rows of a block must come first")
+        if profiles is None and own:
+            profiles = Profiles(*(np.concatenate(c) for c in zip(*own, strict=True)), held, limits.least, limits.apart)
+        for s, total, count, width in profiles.proposals() if profiles else ():
+            n = len(s)
+            yield pa.RecordBatch.from_arrays([pa.array([grp] * n, pa.int64()), pa.array(profiles.ids[s]), pa.array(total), pa.array(count), pa.array(width)], names=["grp", "id", "total", "count", "width"])
 
     return run
 
@@ -321,7 +337,6 @@ def _reached(sent):
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
         from .cells import squared
 
@@ -337,65 +352,95 @@ def _reached(sent):
 
 
 def _undone(limits: Limits):
-    """Of a block of a set's rows, beside what is near the set: its name if a row outside is too near one within."""
+    """Of a block of a set's rows, which come first, beside what is near the set, batch by batch: its name if a row outside is too
+    near one within."""
 
-    def run(got):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import pyarrow as pa
 
         from .cells import squared
 
-        got = got.combine_chunks()
-        foreign, width, x = got.column("foreign").to_numpy(zero_copy_only=False), got.column("width").to_numpy(), matrix(got.column("v")).astype(np.float64)
-        own, width, other = x[~foreign], width[~foreign] ** 2, x[foreign]
-        step, hit = max(1, 4_000_000 // max(len(other), 1)), False
-        for s in range(0, len(own) if len(other) else 0, step):
-            nearest = squared(own[s : s + step], other).min(1)
-            w = width[s : s + step]
-            hit = hit or bool(((nearest < limits.apart**2 * w * (1 - 1e-12)) | (nearest <= w)).any())
-        return pa.table({"cluster": got.column("cluster")[: int(hit)]})
+        own, width, hit, name = [], [], False, None
+        for batch in batches:
+            foreign, x, w = batch.column("foreign").to_numpy(zero_copy_only=False), matrix(batch.column("v")).astype(np.float64), batch.column("width").to_numpy()
+            name = batch.column("cluster")[:1] if batch.num_rows else name
+            own.append(x[~foreign])
+            width.append(w[~foreign] ** 2)
+            other = x[foreign]
+            if hit or not len(other):
+                continue
+            own, width = [np.concatenate(own)], [np.concatenate(width)]
+            step = max(1, 4_000_000 // max(len(other), 1))
+            for s in range(0, len(own[0]), step):
+                nearest, w = squared(own[0][s : s + step], other).min(1), width[0][s : s + step]
+                hit = hit or bool(((nearest < limits.apart**2 * w * (1 - 1e-12)) | (nearest <= w)).any())
+        if hit:
+            yield pa.RecordBatch.from_arrays([name], names=["cluster"])
 
     return run
 
 
-def _isolate_large(rows: DataFrame, large: DataFrame, units: DataFrame, limits: Limits) -> DataFrame:
-    """``rep, cluster``: the smallest isolated sets of groups of any size.
+def _sets_of_large(rows: DataFrame, large: DataFrame, limits: Limits) -> DataFrame:
+    """The smallest isolated sets of groups of any size, as of ``_isolate``, before rows of other groups are looked at.
 
     As in ``cells.isolated``, a set stands if all its rows propose it; here the rows propose in blocks and are counted afterwards.
-    Rows of other groups can only undo a set; they are looked for in all units.
+    A block goes through all rows of its group; rows are blocked by hash, so each block is a fair sample of the group.
     """
-    import numpy as np
-
-    spark = rows.sparkSession
-    n = F.least(F.ceil(F.col("held") / limits.block_rows), F.lit(limits.blocks)).cast("int")
-    own = rows.join(large.withColumn("n", n), "grp").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("n")).cast("int"))
-    own = stage(own.select("grp", "id", "copies", "v", "unit", F.xxhash64("id").alias("name"), "block", "n"), "large_rows")
-    sent = own.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("grp", "id", "copies", "v", "name", "to", (F.col("to") == F.col("block")).alias("mine"))
+    n = F.ceil(F.col("held") / limits.block_rows).cast("int")
+    own = rows.join(F.broadcast(large.withColumn("n", n)), "grp").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("n")).cast("int"))
+    own = stage(own.select("grp", "id", "copies", "v", F.xxhash64("id").alias("name"), "block", "n", "held"), "large_rows")
+    sent = own.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("grp", "id", "copies", "v", "name", "held", "to", (F.col("to") != F.col("block")).alias("late"))
+    sent = sent.repartition("grp", "to").sortWithinPartitions("grp", "to", "late")
     said = stage(sent.groupBy("grp", "to").applyInArrow(_propose(limits), "grp bigint, id bigint, total bigint, count bigint, width double"), "proposals")
     key = ["grp", "total", "count"]
-    whole = said.groupBy(key).agg(F.count("*").alias("votes")).where("votes = count").select(key)
     # isolated sets are nested or disjoint; one that holds a smaller one has a row of which it is not the smallest
-    first = said.join(whole, key).withColumn("least", F.min("count").over(Window.partitionBy("grp", "id"))).where(F.col("least") == F.col("count"))
-    named = first.withColumn("held", F.count("*").over(Window.partitionBy(key))).where(F.col("held") == F.col("count"))
-    named = named.select("grp", "id", "width", F.min("id").over(Window.partitionBy(key)).alias("cluster"))
-    found = stage(named.join(own.select("id", "v", "block"), "id"), "large_sets")
-    mean = found.select("cluster", F.posexplode("v").alias("k", "e")).groupBy("cluster", "k").agg(F.avg(F.col("e").cast("double")).alias("e"))
-    centre = mean.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "e"))), lambda s: s["e"]).alias("centre"))
-    shape = found.join(centre, "cluster").groupBy("cluster", "grp").agg(F.first("centre").alias("centre"), ((F.max(_off("v", "centre")) + limits.apart * F.max("width")) * (1 + 1e-6)).alias("clear"))
-    shape = stage(shape, "large_shapes")
-    held = shape.toPandas()
-    sent_sets = spark.sparkContext.broadcast((held.cluster.to_numpy(np.int64), np.array(held.centre.tolist(), np.float64).reshape(len(held), -1), held.clear.to_numpy(float)))
-    near = units.select("unit", "c", "radius").mapInArrow(_reached(sent_sets), "unit bigint, cluster bigint") if len(held) else spark.createDataFrame([], "unit bigint, cluster bigint")
-    near = near.join(shape.withColumnRenamed("grp", "home"), "cluster").join(rows.select("unit", "grp", "id", "v"), "unit").where(F.col("grp") != F.col("home"))
-    near = stage(near.where(_off("v", "centre") < F.col("clear")).select("cluster", "v"), "large_near")
-    blocks = found.select("cluster", "block").distinct().join(near.select("cluster").distinct(), "cluster")
-    both = found.join(blocks, ["cluster", "block"]).select("cluster", "block", "v", "width", F.lit(False).alias("foreign"))
+    whole = said.groupBy(key).agg(F.count("*").alias("votes")).where("votes = count").select(key)
+    first = said.join(whole, key).groupBy("grp", "id").agg(F.min(F.struct("count", "total", "width")).alias("s")).select("grp", "id", "s.*")
+    first = stage(first, "large_first")
+    names = first.groupBy(key).agg(F.count("*").alias("held"), F.min("id").alias("cluster")).where(F.col("held") == F.col("count")).select(*key, "cluster")
+    found = first.join(names, key).select("grp", F.col("id").alias("rep"), "width", "cluster").join(own.select(F.col("id").alias("rep"), "v", "block"), "rep")
+    found = stage(found, "large_sets")
+    mean = found.groupBy("cluster").agg(*[F.avg(F.col("v")[k].cast("double")).cast("float").alias(f"m{k}") for k in range(VECTOR_WIDTH)])
+    centre = stage(mean.select("cluster", F.array(*[f"m{k}" for k in range(VECTOR_WIDTH)]).alias("centre")), "large_centres")
+    shape = found.join(centre, "cluster").groupBy("cluster").agg(((F.max(_off("v", "centre")) + limits.apart * F.max("width")) * (1 + 1e-6)).alias("clear")).join(centre, "cluster")
+    first_row = F.col("rep") == F.col("cluster")
+    shape = stage(shape.select("cluster", "centre", "clear"), "large_shapes")
+    with_shape = found.drop("v").join(shape, "cluster").select("rep", "cluster", "width", "grp", "block", F.when(first_row, F.col("centre")).alias("centre"), F.when(first_row, F.col("clear")).alias("clear"))
+    return stage(with_shape, "large_found")
+
+
+def _near_large(found: DataFrame, rows: DataFrame, units: DataFrame) -> DataFrame:
+    """``cluster, v``: rows of other groups so near a set of a large group that they may undo it, looked for in all units. There
+    are at most as many such sets as large groups have blocks of ``least`` rows; they are sent to the tasks in parts."""
+    import numpy as np
+
+    spark = found.sparkSession
+    shapes = found.where(F.col("centre").isNotNull()).select("cluster", "grp", "centre", "clear")
+    parts = []
+    held = shapes.select("cluster", "centre", "clear").toArrow()
+    for s in range(0, max(held.num_rows, 1), SETS_SENT):
+        some = held.slice(s, SETS_SENT)
+        sent = spark.sparkContext.broadcast((some.column("cluster").to_numpy(), matrix(some.column("centre")).astype(np.float64) if len(some) else np.zeros((0, VECTOR_WIDTH)), some.column("clear").to_numpy()))
+        parts.append(units.select("unit", "c", "radius").mapInArrow(_reached(sent), "unit bigint, cluster bigint"))
+    near = parts[0]
+    for part in parts[1:]:
+        near = near.unionByName(part)
+    near = near.join(shapes.withColumnRenamed("grp", "home"), "cluster").join(rows.select("unit", "grp", "v"), "unit").where(F.col("grp") != F.col("home"))
+    return near.where(_off("v", "centre") < F.col("clear")).select("cluster", "v")
+
+
+def _standing(found: DataFrame, near: DataFrame, classes: DataFrame, limits: Limits) -> DataFrame:
+    """``rep, cluster`` of the sets that no row ``near`` undoes. A row outside can only undo a set, and with it all that hold it."""
+    near = stage(near.select("cluster", "v"), "near")
+    blocks = found.join(near.select("cluster").distinct(), "cluster").select("cluster", "block").distinct()
+    both = found.join(near.select("cluster").distinct(), "cluster").join(classes.select("rep", "v"), "rep").select("cluster", "block", "v", "width", F.lit(False).alias("foreign"))
     both = both.unionByName(near.join(blocks, "cluster").select("cluster", "block", "v", F.lit(0.0).alias("width"), F.lit(True).alias("foreign")))
+    both = both.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "foreign")
     undone = both.groupBy("cluster", "block").applyInArrow(_undone(limits), "cluster bigint").distinct()
-    return found.join(undone, "cluster", "left_anti").select(F.col("id").alias("rep"), "cluster")
+    return found.join(undone, "cluster", "left_anti").select("rep", "cluster")
 
 
-def _whole_views(members: DataFrame, units: DataFrame, lost: DataFrame, found: DataFrame, limits: Limits) -> DataFrame:
+def _whole_views(members: DataFrame, units: DataFrame, lost: DataFrame, found: DataFrame, classes: DataFrame, limits: Limits) -> DataFrame:
     """``rep, cluster``: sets that hold whole views.
 
     A set with a unit that sees no gap in a view holds all of the view. Sets hold no smaller ones, so there is none if a row of
@@ -409,10 +454,11 @@ def _whole_views(members: DataFrame, units: DataFrame, lost: DataFrame, found: D
     inside = stage(seen.join(live, "cell"), "whole_views")
     if not inside.limit(1).count():
         return found.where("false")
-    labels = grouped(inside.select("unit").distinct(), inside.select(F.col("unit").alias("a"), F.min("unit").over(Window.partitionBy("cell")).alias("b")))
+    labels = grouped(inside.select("unit").distinct(), inside.join(inside.groupBy("cell").agg(F.min("unit").alias("b")), "cell").select(F.col("unit").alias("a"), "b"))
     rows = members.select("id", "copies", "v", "unit").join(labels, "unit", "left").withColumn("of", F.col("grp")).withColumn("grp", F.coalesce("grp", "unit"))
     sizes = rows.where(F.col("of").isNotNull()).groupBy("grp").agg(F.sum("copies").alias("gn"), F.count("*").alias("held"))
-    return _isolate_large(rows.drop("of"), stage(sizes.where(F.col("gn") >= limits.least).select("grp", "held"), "large"), units, limits)
+    whole = _sets_of_large(rows.drop("of"), stage(sizes.where(F.col("gn") >= limits.least).select("grp", "held"), "large"), limits)
+    return _standing(whole, _near_large(whole, rows, units), classes, limits)
 
 
 def cluster_records(df: DataFrame, key: str = "icsd_id", vector: str = "pca32", order: str = "row_ix", limits: Limits = Limits()) -> DataFrame:
@@ -423,11 +469,17 @@ def cluster_records(df: DataFrame, key: str = "icsd_id", vector: str = "pca32",
     part, repeated keys count once, equal vectors are separate records at distance 0. No rows give no rows. Other columns are
     ignored.
     """
-    classes = stage(distinct_vectors(df, key, vector, order), "classes")
-    reps = classes.where("id = rep").select("id", "copies", "v")
-    moments = reps.select(F.posexplode("v").alias("k", "e")).groupBy("k").agg(F.var_pop(F.col("e").cast("double")).alias("s")).agg(F.sum("s")).first()[0]
-    if moments is None:
+    with staging():
+        return keep_staged(_cluster(df, key, vector, order, limits))
+
+
+def _cluster(df: DataFrame, key: str, vector: str, order: str, limits: Limits) -> DataFrame:
+    classes, several = distinct_vectors(df, key, vector, order)
+    reps = classes.withColumnRenamed("rep", "id")
+    mean = reps.agg(*[F.var_pop(F.col("v")[k].cast("double")).alias(f"s{k}") for k in range(VECTOR_WIDTH)]).first()
+    if mean[0] is None:
         return df.sparkSession.createDataFrame([], "id bigint, cluster bigint")
+    moments = sum(mean)
     cells = route(reps, limits)
     members = stage(cells.groupBy("cell").applyInArrow(_make_units(limits, limits.widest * moments**0.5), _MEMBER), "members")
     units = members.where(F.col("c").isNotNull()).select("unit", "n", "c", "rms", "radius")
@@ -455,36 +507,30 @@ def cluster_records(df: DataFrame, key: str = "icsd_id", vector: str = "pca32",
     sizes = rows.groupBy("grp").agg(F.sum("copies").alias("gn"), F.count("*").alias("held")).where(F.col("gn") >= limits.least)
     small = sizes.where(F.col("held") <= limits.exact_rows).select("grp")
     large = stage(sizes.where(F.col("held") > limits.exact_rows).select("grp", "held"), "large")
-    own = rows.join(small, "grp").select("grp", "id", "copies", "v", F.lit(False).alias("foreign"))
+    own = rows.join(small, "grp").select("grp", "id", "copies", "v")
     found = stage(own.groupBy("grp").applyInArrow(_isolate(limits), _SETS), "sets")
-    # what is outside a group can only undo a set, and with it all that hold it; most sets are clear of everything
-    sets = found.where(F.col("centre").isNotNull()).select("cluster", "centre", "clear")
-    grp_of = labels.select(F.col("unit").alias("u"), "grp").join(members.select(F.col("id").alias("cluster"), F.col("unit").alias("u")), "u").select("cluster", "grp")
-    sets = sets.join(grp_of, "cluster")
+    sets = found.where(F.col("centre").isNotNull()).select("cluster", "grp", "centre", "clear")
     near = around.where("kind = 0").select("grp", "unit").distinct().join(sets, "grp").join(units.select("unit", "c", "radius"), "unit")
     near = near.where(_off("c", "centre") - F.col("radius") < F.col("clear")).select("unit", "cluster", "centre", "clear")
-    close = near.join(members.select("unit", "id", "copies", "v"), "unit").where(_off("v", "centre") < F.col("clear")).select("cluster", "id", "copies", "v")
-    close = stage(close, "close")
-    doubted = close.select("cluster").distinct()
-    again = found.join(doubted, "cluster").select("cluster", F.col("rep").alias("id")).join(members.select("id", "copies", "v"), "id").select("cluster", "id", "copies", "v", F.lit(False).alias("foreign"))
-    again = again.unionByName(close.withColumn("foreign", F.lit(True))).withColumnRenamed("cluster", "grp").groupBy("grp").applyInArrow(_isolate(limits), _SETS)
-    clear = found.select("rep", "cluster").join(doubted, "cluster", "left_anti").unionByName(again.select("rep", "cluster"))
-    of_rep = clear.select("rep", "cluster")
+    near = near.join(members.select("unit", "v"), "unit").where(_off("v", "centre") < F.col("clear")).select("cluster", "v")
     if large.limit(1).count():
-        of_rep = of_rep.unionByName(_isolate_large(rows, large, units, limits))
+        of_large = _sets_of_large(rows, large, limits)
+        found, near = found.unionByName(of_large), near.unionByName(_near_large(of_large, rows, units))
+    of_rep = _standing(found, near, classes, limits)
     if lost.limit(1).count():
         of_rep = stage(of_rep, "found")
-        of_rep = of_rep.unionByName(_whole_views(members, units, lost, of_rep, limits))
-    return stage(classes.select("id", "rep").join(of_rep, "rep").select("id", "cluster"), "clusters")
-
-
-_SETS = "rep bigint, cluster bigint, centre array<float>, clear double"
+        of_rep = of_rep.unionByName(_whole_views(members, units, lost, of_rep, classes, limits))
+    of_rep = stage(of_rep, "standing")
+    copies = several.where("id <> rep").join(of_rep, "rep").select("id", "cluster")
+    return stage(of_rep.select(F.col("rep").alias("id"), "cluster").unionByName(copies), "clusters")
 
 
 def member_distances(clusters: DataFrame, df: DataFrame, key: str = "icsd_id", vector: str = "pca32", order: str = "row_ix") -> DataFrame:
     """``id, cluster, distance``: adds how far each record lies from the centre of its cluster. Sums are made before anything
     is exchanged, so a cluster of any size is no burden."""
-    named = stage(clusters.join(distinct_vectors(df, key, vector, order).select("id", "v"), "id"), "named")
+    classes, several = distinct_vectors(df, key, vector, order)
+    of = classes.select(F.col("rep").alias("id"), "v").unionByName(several.where("id <> rep").join(classes.select("rep", "v"), "rep").select("id", "v"))
+    named = stage(clusters.join(of, "id"), "named")
     dims = [F.avg(F.col("v")[k].cast("double")).alias(f"m{k}") for k in range(VECTOR_WIDTH)]
     centres = named.groupBy("cluster").agg(*dims).select("cluster", F.array(*[f"m{k}" for k in range(VECTOR_WIDTH)]).alias("m"))
     off = F.aggregate(F.zip_with("v", "m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e)
@@ -502,7 +548,6 @@ def describe(clusters: DataFrame, typical: int = 3) -> DataFrame:
 
 def _pair(batches: Iterator) -> Iterator:
     import numpy as np
-    import pyarrow as pa
 
     kept = None  # cluster, first and last record of the run that reaches the end of what was read
     part = 0

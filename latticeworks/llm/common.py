@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, stage
+from ..session import keep_staged, shared_dir, stage, staging
 
-__all__ = ["VECTOR_WIDTH", "as_lists", "distinct_vectors", "is_vector", "matrix", "shared_dir", "stage", "table"]
+__all__ = ["VECTOR_WIDTH", "as_lists", "distinct_vectors", "is_vector", "keep_staged", "matrix", "shared_dir", "stage", "staging", "table"]
 
 VECTOR_WIDTH = 32
 
@@ -41,21 +41,27 @@ def as_lists(values, rows: int):
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(values.reshape(-1)))
 
 
-def distinct_vectors(df: DataFrame, key: str, vector: str, order: str) -> DataFrame:
-    """One row per ``key`` with a valid vector: ``id, rep, copies, v``.
+def drawn(rows: DataFrame, key: str, vector: str, most: int, total: int, seed: int):
+    """About ``most`` vectors (all of fewer) as a matrix, drawn by a hash of ``key``, so that the same rows give the same sample."""
+    part = rows if total <= most else rows.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(2**31)) < int(2**31 * most / total))
+    return matrix(part.sort(key).select(vector).toArrow().column(0))
 
-    A key with several vectors keeps the one with the smallest ``order`` (a null order last). Keys with equal vectors form one
-    class; ``rep`` is its smallest key and ``copies`` its size, so a later stage works on the rows with ``id = rep`` and a
-    vector held by a third of all keys costs no more than any other. Null keys are left out. Other columns are ignored.
+
+def distinct_vectors(df: DataFrame, key: str, vector: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal vectors, ``rep, copies, v``, and the keys of classes of several, ``id, rep``.
+
+    A key with several vectors keeps the one with the smallest ``order`` (a null order last). ``rep`` is the smallest key of a
+    class and ``copies`` its size, so a later stage works on classes and a vector held by a third of all keys costs no more than
+    any other. Vectors are told apart by 128 bits of hashes; counts and minima are made before anything is exchanged. Null keys
+    and rows without a valid vector are left out, other columns are ignored, no rows give no classes.
     """
     rows = df.where(F.col(key).isNotNull() & is_vector(vector)).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"), F.coalesce(F.col(order).cast("bigint"), F.lit(2**62)).alias("o"))
     # -0.0 and 0.0 are one value
-    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float"))).withColumn("h", F.xxhash64("v"))
-    # keys with several vectors are found on hashes; vectors are exchanged once, by the vector
-    several = rows.groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min(F.struct("o", "h")).alias("first")).where("lo <> hi")
-    several = stage(several.select("id", F.col("first.h").alias("kept")), "several")
-    if several.limit(1).count():
-        rows = rows.join(several, "id", "left").where(F.col("kept").isNull() | (F.col("kept") == F.col("h")))
-    same = Window.partitionBy("h", "v")
-    rows = rows.select("id", "v", "h").withColumn("before", F.lag("id").over(same.orderBy("id"))).where(F.col("before").isNull() | (F.col("before") < F.col("id")))
-    return rows.select("id", F.min("id").over(same).alias("rep"), F.count("*").over(same).cast("int").alias("copies"), "v")
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float"))).withColumn("h", F.xxhash64("v")).withColumn("g", F.xxhash64(F.lit(1), "v"))
+    ids = rows.groupBy("id").agg(F.min(F.struct("o", "h", "g")).alias("first")).select("id", "first.h", "first.g")
+    ids = stage(ids, "ids")
+    sizes = ids.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count("*").cast("int").alias("copies"))
+    vectors = rows.select("h", "g", "v").dropDuplicates(["h", "g"])
+    classes = stage(sizes.join(vectors, ["h", "g"]), "classes")
+    shared = classes.where("copies > 1").select("h", "g", "rep")
+    return classes.select("rep", "copies", "v"), stage(ids.join(shared, ["h", "g"]).select("id", "rep"), "several")
