@@ -1,13 +1,18 @@
 """The nearest vectors of every vector, by a permutation index.
 
 Pivots are drawn from the vectors. Each vector is represented by the order of its nearest pivots and posted in the inverted
-file of the nearest one. A query walks the files of its own nearest pivots, ranks what is posted there by the footrule
-distance of the two permutations, and reranks the best by Euclidean distance. Files of neighbouring pivots are kept together
-in a bucket, so that a query travels to few buckets; a bucket with more postings than a task should hold is cut into slices,
-each of which gets all of the bucket's queries. Every vector is posted and asks; equal vectors form one class, so that copies
-cost nothing; nothing is capped but the number of files walked, which is the index's accuracy parameter.
-
-The number of pivots follows the number of vectors, so a file keeps its size and the work grows in proportion.
+files of the first ``places`` of them. A query walks the files of its own nearest pivots in their order and reranks what is
+posted there by Euclidean distance; a vector met in several files counts once. Vectors that lie far from all pivots have a
+less telling order, so they are posted in more files and ask more. For pairs within a radius a query also walks every file
+whose pivot is no further than the nearest plus twice the radius: no other can hold such a vector, so none is lost.
+
+Ranking what is posted by the footrule distance of two orders before it is reranked does not pay in 32 dimensions, see the
+README; the order decides where a vector is posted and what is asked, and all of that is compared exactly.
+
+Files of neighbouring pivots are kept together in buckets of about equal work, estimated on a bounded sample; a bucket of one
+file with more work than a task should have is asked in several parts. Every vector is posted and asks; equal vectors form one
+class, so that copies cost nothing. The number of pivots follows the number of vectors, so a file keeps its size and the work
+grows in proportion.
 """
 
 from __future__ import annotations
@@ -15,10 +20,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import VECTOR_WIDTH, as_lists, distinct_vectors, matrix, stage
+from .common import VECTOR_WIDTH, distinct_vectors, drawn, keep_staged, matrix, stage, staging
 
 
 @dataclass(frozen=True)
@@ -26,260 +32,318 @@ class Permutations:
     """Parameters of the index. ``most_pivots`` bounds what is sampled and sent to the tasks (1 MB per 8,192)."""
 
     per_pivot: int = 128  #: vectors per pivot
-    most_pivots: int = 32767
-    prefix: int = 8  #: places of a permutation that footrule compares, 21 at most
-    probes: int = 64  #: files walked at most
-    least_probes: int = 8
-    reach: float = 1.35  #: files of pivots up to this many times as far as the nearest are walked
-    reranked: float = 0.85  #: share of a file, the best by footrule, that is compared exactly
-    pivots_per_bucket: int = 128
-    buckets: int = 3  #: a query walks files in this many buckets at most
-    slice_rows: int = 32768  #: postings per task
-
-
-def bucket_pivots(pivots, most: int):
-    """A bucket number for each pivot: halves along the axis of the largest spread until ``most`` are left."""
+    most_pivots: int = 131072
+    places: int = 4  #: files that a vector is posted in
+    asked: int = 10  #: files that it asks at least
+    far: float = 3.0  #: vectors this many times as far from their pivot as the median ...
+    far_places: int = 8  #: ... are posted in so many
+    far_asked: int = 48  #: ... and ask so many
+    direct: int = 4096  #: of more pivots only those of groups that may matter are compared
+    group: int = 64  #: pivots in a group
+    sample: int = 16384  #: vectors on which work is estimated
+    task_pairs: float = 2e8  #: comparisons aimed at per task
+
+
+class Pivots:
+    """Pivots, and which of them are nearest to given vectors."""
+
+    def __init__(self, pivots, options: Permutations):
+        import numpy as np
+
+        self.middle = pivots.mean(0) if len(pivots) else np.zeros(VECTOR_WIDTH, np.float32)
+        self.x = pivots - self.middle
+        self.squares = (self.x * self.x).sum(1)
+        self.groups = None
+        if len(pivots) > options.direct:
+            by = halved(self.x, lambda rows: len(rows) <= options.group)
+            centres = np.stack([self.x[rows].mean(0) for rows in by])
+            radius = np.array([np.sqrt(((self.x[rows] - c) ** 2).sum(1).max()) for rows, c in zip(by, centres, strict=True)])
+            self.groups = by, centres, radius * np.float32(1 + 1e-5)
+            self.enough = max(8 * options.far_asked, 512)
+
+    def _squared(self, x, among=None):
+        p, squares = (self.x, self.squares) if among is None else (self.x[among], self.squares[among])
+        return squares - 2 * (x @ p.T) + (x * x).sum(1)[:, None]
+
+    def nearest(self, x, least, margin: float):
+        """(row, pivot, distance, rank): of each row of x its nearest pivots in order, at least ``least`` of them, a function of the
+        distances of the first, and all no further than the first plus ``margin``."""
+        import numpy as np
+
+        out = []
+        for s in range(0, len(x), 1024):
+            y = x[s : s + 1024] - self.middle
+            for rows, among in self._looks(y, margin):
+                out.append(self._few(y if rows is None else y[rows], among, least, margin, s + (np.arange(len(y)) if rows is None else rows)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+
+    def _few(self, y, among, least, margin, names):
+        import numpy as np
+
+        d = self._squared(y, among)
+        slack = 2e-6 * ((y * y).sum(1) + float(self.squares.max()))[:, None]
+        first = d.min(1)[:, None]
+        ring = np.sqrt(np.maximum(d - slack, 0)) <= np.sqrt(np.maximum(first, 0) + slack) + margin if margin else None
+        k = least(np.sqrt(np.maximum(first[:, 0], 0)))
+        k = np.minimum(np.maximum(k, ring.sum(1)) if margin else k, d.shape[1])
+        most = int(k.max())
+        best = np.argpartition(d, most - 1, axis=1)[:, :most] if most < d.shape[1] else np.tile(np.arange(most), (len(y), 1))
+        d = np.take_along_axis(d, best, 1)
+        order = np.argsort(d, axis=1, kind="stable")
+        best, d = np.take_along_axis(best, order, 1), np.take_along_axis(d, order, 1)
+        row, rank = np.nonzero(np.arange(most)[None, :] < k[:, None])
+        pivot = best[row, rank]
+        return names[row], (pivot if among is None else among[pivot]), np.sqrt(np.maximum(d[row, rank], 0)), rank
+
+    def _looks(self, y, margin):
+        """Rows and the pivots that are compared with them: all, or those of the groups nearest to the rows' own group and of
+        every group that may hold one within the margin."""
+        import numpy as np
+
+        if self.groups is None:
+            yield None, None
+            return
+        by, centres, radius = self.groups
+        to = np.sqrt(np.maximum((centres * centres).sum(1) - 2 * (y @ centres.T) + (y * y).sum(1)[:, None], 0))
+        own = to.argmin(1)
+        sizes = np.array([len(b) for b in by])
+        for g in np.unique(own):
+            rows = np.flatnonzero(own == g)
+            order = np.argsort(((centres - centres[g]) ** 2).sum(1), kind="stable")
+            take = order[: int(np.searchsorted(np.cumsum(sizes[order]), self.enough)) + 1]
+            among = np.concatenate([by[t] for t in take])
+            reach = np.sqrt(np.maximum(self._squared(y[rows], among).min(1), 0)) * (1 + 1e-4) + margin + 1e-3
+            more = np.setdiff1d(np.flatnonzero(((to[rows] - radius[None, :]) <= reach[:, None]).any(0)), take)
+            yield rows, np.concatenate([among, *(by[t] for t in more)])
+
+
+def halved(x, fits):
+    """Row numbers of x in parts, halved along the axis of the largest spread until each ``fits``."""
     import numpy as np
 
-    bucket, todo, n = np.zeros(len(pivots), np.int32), [np.arange(len(pivots))], 0
+    out, todo = [], [np.arange(len(x))]
     while todo:
         rows = todo.pop()
-        if len(rows) <= most:
-            bucket[rows] = n
-            n += 1
+        if len(rows) < 2 or fits(rows):
+            out.append(rows)
             continue
-        x = pivots[rows] - pivots[rows].mean(0)
-        axis = np.ones(x.shape[1]) / x.shape[1] ** 0.5
+        part = x[rows] - x[rows].mean(0)
+        axis = np.ones(part.shape[1]) / part.shape[1] ** 0.5
         for _ in range(12):
-            axis = x.T @ (x @ axis)
+            axis = part.T @ (part @ axis)
             axis /= max(np.linalg.norm(axis), 1e-30)
-        order = np.argsort(x @ axis, kind="stable")
+        order = np.argsort(part @ axis, kind="stable")
         half = len(rows) // 2
         todo += [rows[order[:half]], rows[order[half:]]]
-    return bucket
-
+    return out
 
-def nearest_pivots(x, pivots, groups, k: int):
-    """The k nearest pivots of each row of x, in order, and their squared distances. Of many pivots only those in the groups
-    nearest to the row's own are compared; ``groups`` is (group centres, pivots by group), or None to compare all."""
-    import numpy as np
 
-    k = min(k, len(pivots))
-    out_i, out_d = np.empty((len(x), k), np.int32), np.empty((len(x), k), np.float32)
-
-    def closest(rows, among):
-        p = pivots[among]
-        d = (p * p).sum(1) - 2 * (x[rows] @ p.T)
-        best = np.argpartition(d, k - 1, axis=1)[:, :k] if len(among) > k else np.tile(np.arange(len(among)), (len(rows), 1))
-        d = np.take_along_axis(d, best, 1)
-        order = np.argsort(d, axis=1, kind="stable")
-        out_i[rows] = among[np.take_along_axis(best, order, 1)]
-        out_d[rows] = np.maximum(np.take_along_axis(d, order, 1) + (x[rows] * x[rows]).sum(1)[:, None], 0)
-
-    if groups is None:
-        for s in range(0, len(x), 2048):
-            closest(np.arange(s, min(s + 2048, len(x))), np.arange(len(pivots)))
-        return out_i, out_d
-    centres, near = groups
-    own = np.argmin((centres * centres).sum(1) - 2 * (x @ centres.T), axis=1)
-    order = np.argsort(own, kind="stable")
-    for rows in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
-        closest(rows, near[own[rows[0]]])
-    return out_i, out_d
-
-
-def pivot_groups(pivots, bucket, least: int):
-    """Group centres, and for each group the pivots of the nearest groups: an eighth of all, ``least`` at the least."""
-    import numpy as np
+class Nearest:
+    """The k nearest rows found so far of each row, by distance and name, each at most once."""
 
-    if len(pivots) <= 2048:
-        return None
-    n = int(bucket.max()) + 1
-    centres = np.stack([pivots[bucket == b].mean(0) for b in range(n)])
-    by = [np.flatnonzero(bucket == b) for b in range(n)]
-    d = ((centres[:, None] - centres[None]) ** 2).sum(-1)
-    near = []
-    for b in range(n):
-        order = np.argsort(d[b], kind="stable")
-        take = np.searchsorted(np.cumsum([len(by[o]) for o in order]), max(least, len(pivots) // 8)) + 1
-        near.append(np.concatenate([by[o] for o in order[:take]]))
-    return centres, near
-
-
-def footrule_scores(perm, index, weights):
-    """How much the permutations of queries and postings agree: the sum over shared pivots of the smaller weight.
-
-    With weights that fall by one from the first place on, the footrule distance of two prefixes is a constant minus twice
-    this score, so the largest scores are the smallest footrule distances. ``index`` is the postings' weights by pivot.
-    """
-    import numpy as np
+    def __init__(self, n: int, k: int, within: float):
+        import numpy as np
 
-    score = np.zeros((len(perm), index.shape[1]), np.uint8)
-    for place in range(perm.shape[1]):
-        score += np.minimum(index[perm[:, place]], weights[place])
-    return score
+        self.k, self.limit = k, np.full(n, within * within * (1 + 1e-6))
+        self.d, self.i = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
 
+    def offer(self, q, other, d, ids):
+        """Rows ``q``, others and squared distances; the pairs are new or repeated."""
+        import numpy as np
 
-def _walk(options: Permutations, k: int):
-    def run(key, got):
+        some = np.unique(q)
+        held_q, held_i, held_d = np.repeat(some, self.k), self.i[some].ravel(), self.d[some].ravel()
+        real = held_i >= 0
+        q, other, d = np.concatenate([held_q[real], q]), np.concatenate([held_i[real], other]), np.concatenate([held_d[real], d])
+        order = np.lexsort((ids[other], d, q))
+        q, other, d = q[order], other[order], d[order]
+        # the same pair has the same distance, so repeats stand side by side
+        new = np.append(True, (q[1:] != q[:-1]) | (other[1:] != other[:-1]))
+        q, other, d = q[new], other[new], d[new]
+        starts = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+        place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+        keep = place < self.k
+        q, other, d, place = q[keep], other[keep], d[keep], place[keep]
+        self.d[q, place], self.i[q, place] = d, other
+        full = place == self.k - 1
+        self.limit[q[full]] = np.minimum(self.limit[q[full]], d[full])
+
+
+def _walk(k: int, within: float):
+    def run(got):
         import numpy as np
-        import pyarrow as pa
 
         got = got.combine_chunks()
-        ids, x = got.column("rep").to_numpy(), matrix(got.column("v"))
-        copies, posts = got.column("copies").to_numpy(), got.column("post").to_numpy(zero_copy_only=False)
-        prefix = got.column("perm").combine_chunks().value_lengths()[0].as_py()  # the sum of the weights, 36 of 8, must fit a byte
-        whole = got.column("perm").combine_chunks().flatten().to_numpy().reshape(-1, prefix)
-        local, flat = np.unique(whole, return_inverse=True)
-        perm = flat.reshape(whole.shape).astype(np.int32)
-        weights = (prefix - np.arange(prefix)).astype(np.uint8)
-        best_d = np.full((len(ids), k), np.inf, np.float32)
-        best_i = np.full((len(ids), k), -1, np.int64)  # row in this slice
-        posted = np.flatnonzero(posts)
-        posted = posted[np.argsort(whole[posted, 0], kind="stable")]
-        files = np.split(posted, np.flatnonzero(np.diff(whole[posted, 0])) + 1) if len(posted) else []
-        asks = got.column("asks").combine_chunks()
-        asks_row, asks_pivot = np.repeat(np.arange(len(ids)), asks.value_lengths().to_numpy()), asks.flatten().to_numpy()
-        order = np.argsort(asks_pivot, kind="stable")
-        asks_row, asks_pivot = asks_row[order], asks_pivot[order]
-        for file in files:
-            pivot = whole[file[0], 0]
-            a, b = np.searchsorted(asks_pivot, [pivot, pivot + 1])
-            asking = asks_row[a:b]
-            if not len(asking):
-                continue
-            index = np.zeros((len(local), len(file)), np.uint8)
-            index[perm[file].T, np.arange(len(file))[None, :]] = weights[:, None]
-            px = x[file]
+        ids, x, copies = got.column("rep").to_numpy(), matrix(got.column("v")), got.column("copies").to_numpy()
+        best = Nearest(len(ids), k, within)
+
+        def listed(name):
+            column = got.column(name).combine_chunks()
+            n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row, pivot = np.repeat(np.arange(len(ids)), n), column.flatten().to_numpy()
+            rank = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            order = np.lexsort((rank, pivot))
+            return row[order], pivot[order], rank[order]
+
+        post, post_pivot, _ = listed("posts")
+        ask, ask_pivot, ask_rank = listed("asks")
+        files = np.unique(post_pivot)
+        ends = np.searchsorted(post_pivot, [files, files + 1])
+        asks = np.searchsorted(ask_pivot, [files, files + 1])
+
+        def compare(file, asking, first):
+            px = x[file] - x[file[0]]
             squares = (px * px).sum(1)
-            c = max(min(len(file), 2 * k), int(options.reranked * len(file)))
-            few = min(k + 3, len(file))
-            step = max(1, 200_000 // len(file))
+            top, few = float(squares.max()), min(k + 1, len(file))
+            step = max(1, 400_000 // len(file))
             for s in range(0, len(asking), step):
                 q = asking[s : s + step]
-                d = squares - 2 * (x[q] @ px.T)
-                if c < len(file):
-                    score = footrule_scores(perm[q], index, weights)
-                    d[score < np.partition(score, len(file) - c, axis=1)[:, len(file) - c, None]] = np.inf
-                d[file[None, :] == q[:, None]] = np.inf
-                cand = np.argpartition(d, few - 1, axis=1)[:, :few]
-                out = np.isinf(np.take_along_axis(d, cand, 1))
-                diff = px[cand] - x[q][:, None, :]
-                d = np.einsum("qcw,qcw->qc", diff, diff)  # without the rounding of the expanded form
-                d[out] = np.inf
-                cid = np.where(out, -1, file[cand])
-                all_d, all_i = np.concatenate([best_d[q], d], 1), np.concatenate([best_i[q], cid], 1)
-                top = np.argpartition(all_d, k - 1, axis=1)[:, :k]
-                best_d[q], best_i[q] = np.take_along_axis(all_d, top, 1), np.take_along_axis(all_i, top, 1)
-        row, col = np.nonzero(np.isfinite(best_d))
-        other = best_i[row, col]
-        return pa.table({"rep": ids[row], "near": ids[other], "d2": best_d[row, col], "own": copies[row], "copies": copies[other]})
+                y = x[q] - x[file[0]]
+                own = (y * y).sum(1)
+                d = squares - 2 * (y @ px.T)
+                limit = best.limit[q] - own
+                if first and np.isinf(within) and few < len(file):
+                    limit = np.minimum(limit, np.partition(d, few - 1, axis=1)[:, few - 1])
+                r, c = np.nonzero(d <= (limit + 4e-6 * (own + top))[:, None])
+                a, b = q[r], file[c]
+                ok = a != b
+                a, b = a[ok], b[ok]
+                if len(a):
+                    e = x[a].astype(np.float64) - x[b]
+                    e = np.einsum("ij,ij->i", e, e)
+                    ok = e <= best.limit[a]
+                    if ok.any():
+                        best.offer(a[ok], b[ok], e[ok], ids)
+
+        # the nearest files first, so that what is asked later has a limit
+        for first in (True, False):
+            for f in range(len(files)):
+                span = slice(asks[0, f], asks[1, f])
+                asking = ask[span][(ask_rank[span] == 0) == first]
+                if len(asking):
+                    compare(post[ends[0, f] : ends[1, f]], asking, first)
+        row, col = np.nonzero(best.i >= 0)
+        other = best.i[row, col]
+        return pa.table({"rep": ids[row], "near": ids[other], "d2": best.d[row, col], "own": copies[row], "copies": copies[other]})
 
     return run
 
 
-_FOUND = "rep bigint, near bigint, d2 float, own int, copies int"
-
+_FOUND = "rep bigint, near bigint, d2 double, own int, copies int"
+_SENT = "bucket int, part int, rep bigint, copies int, posts array<smallint>, asks array<smallint>, v array<float>"
 
-def nearest_classes(classes: DataFrame, k: int, options: Permutations = Permutations()) -> DataFrame:
-    """``rep, near, d2, own, copies``: up to k near classes of each class from every slice that it asked, with the sizes of both.
 
-    A class is posted in one slice, so no pair comes twice; the best k are still to be taken.
-    """
+def _ragged(values, sizes):
     import numpy as np
 
-    spark = classes.sparkSession
-    reps = classes.where("id = rep").select("rep", "copies", "v")
-    total = reps.count()
-    n_pivots = int(min(options.most_pivots, max(2, -(-total // options.per_pivot))))
-    drawn = reps.orderBy(F.xxhash64("rep", F.lit(11)), "rep").limit(n_pivots).select("v").toArrow().column(0)
-    pivots = matrix(drawn) if len(drawn) else np.zeros((0, VECTOR_WIDTH), np.float32)
-    n_pivots = len(pivots)
-    if not n_pivots:
-        return spark.createDataFrame([], _FOUND)
-    bucket = bucket_pivots(pivots, options.pivots_per_bucket)
-    sent = spark.sparkContext.broadcast((pivots, bucket, pivot_groups(pivots, bucket, 8 * options.probes)))
-    width = min(max(options.prefix, options.probes), n_pivots)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
-    def represent(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        pivots, bucket, groups = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column(2))
-            perm, d = nearest_pivots(x, pivots, groups, width)
-            far = np.float32(options.reach**2)
-            probes = np.minimum(np.maximum((d <= np.maximum(d[:, :1], 1e-12) * far).sum(1), min(options.least_probes, width)), options.probes).astype(np.int32)
-            # the first buckets in the order of the pivots
-            to = np.where(np.arange(width)[None, :] < probes[:, None], bucket[perm], -1)
-            goes = np.full((len(x), options.buckets), -1, np.int32)
-            goes[:, 0] = to[:, 0]
-            for b in range(1, options.buckets):
-                other = (to >= 0) & ~(to[:, :, None] == goes[:, None, :b]).any(2)
-                at = other.argmax(1)
-                goes[:, b] = np.where(other.any(1), to[np.arange(len(x)), at], -1)
-            row, col = np.nonzero(goes >= 0)
-            # of the walked files each bucket hears of its own
-            own = to[row] == goes[row, col][:, None]
-            own_ends = pa.array(np.concatenate([[0], np.cumsum(own.sum(1))]).astype(np.int32))
-            asks = pa.ListArray.from_arrays(own_ends, pa.array(perm[row][own].astype(np.int16)))
-            names = ["bucket", "post", "rep", "copies", "perm", "asks", "v"]
-            took = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(goes[row, col]), pa.array(col == 0), took.column(0), took.column(1), as_lists(perm[row, : min(options.prefix, width)].astype(np.int16), len(row)), asks, took.column(2)], names=names)
-
-    sent_rows = reps.mapInArrow(represent, "bucket int, post boolean, rep bigint, copies int, perm array<smallint>, asks array<smallint>, v array<float>")
-    loads = reps.mapInArrow(_first_bucket(sent), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    slices = {r["bucket"]: -(-r["n"] // options.slice_rows) for r in loads.where(F.col("n") > options.slice_rows).collect()} if total > options.slice_rows else {}
-    if slices:
-        # a query goes to all slices of a bucket, its posting to one
-        n = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in slices.items() for x in pair]), F.col("bucket")), F.lit(1)).cast("int")
-        sent_rows = sent_rows.withColumn("slice", F.explode(F.sequence(F.lit(0), n - 1)))
-        sent_rows = sent_rows.withColumn("post", F.col("post") & (F.col("slice") == F.pmod(F.xxhash64("rep"), n)))
-    return sent_rows.groupBy("bucket", *["slice"] * bool(slices)).applyInArrow(_walk(options, k), _FOUND)
-
-
-def _first_bucket(sent):
+def _represent(sent, options: Permutations, margin: float):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
-        pivots, bucket, groups = sent.value
+        pivots, bucket, local, parts, far = sent.value
+        asked = lambda first: np.where(first > far, options.far_asked, options.asked)
         for batch in batches:
-            if batch.num_rows:
-                b, n = np.unique(bucket[nearest_pivots(matrix(batch.column(2)), pivots, groups, 1)[0][:, 0]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+            if not batch.num_rows:
+                continue
+            rep = batch.column(0).to_numpy()
+            row, pivot, d, rank = pivots.nearest(matrix(batch.column(2)), asked, margin)
+            order = np.lexsort((rank, bucket[pivot], row))
+            row, pivot, d, rank = row[order], pivot[order], d[order], rank[order]
+            first = np.zeros(batch.num_rows, np.float32)
+            first[row[rank == 0]] = d[rank == 0]
+            places = np.where(first > far, options.far_places, options.places)
+            to = bucket[pivot]
+            starts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (to[1:] != to[:-1])))
+            m = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(row))))  # the message of each entry
+            posted = rank < places[row]
+            m_row, m_to = row[starts], to[starts]
+            n_posts = np.bincount(m, posted, len(starts)).astype(np.int64)
+            n_asks = np.bincount(m, minlength=len(starts))
+            mine = ((rep[m_row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts[m_to]
+            # a posting goes to all parts of a bucket, its questions to one
+            copies = np.where(n_posts > 0, parts[m_to], 1)
+            k = np.repeat(np.arange(len(starts)), copies)
+            part = np.arange(len(k)) - np.repeat(np.cumsum(copies) - copies, copies)
+            part = np.where(copies[k] > 1, part, mine[k])
+            asks = np.where(part == mine[k], n_asks[k], 0)
+            post_values, post_start = local[pivot[posted]], np.cumsum(n_posts) - n_posts
+            spread = lambda start, n: np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            posts = _ragged(post_values[spread(post_start[k], n_posts[k])], n_posts[k])
+            asked_lists = _ragged(local[pivot][spread(starts[k], asks)], asks)
+            took = batch.take(pa.array(m_row[k]))
+            names = ["bucket", "part", "rep", "copies", "posts", "asks", "v"]
+            for a in range(0, len(k), 20_000):
+                cut = slice(a, a + 20_000)
+                t = took.slice(a, 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array(m_to[k][cut].astype(np.int32)), pa.array(part[cut].astype(np.int32)), t.column(0), t.column(1), posts.slice(a, 20_000), asked_lists.slice(a, 20_000), t.column(2)], names=names)
 
     return run
 
 
-def _ranked(classes: DataFrame, k: int, options: Permutations) -> DataFrame:
-    """``rep, near, distance, own, copies, before``: near classes of which a key is among the k nearest of a key of ``rep``.
+def nearest_classes(classes: DataFrame, k: int, options: Permutations = Permutations(), within: float = float("inf")) -> DataFrame:
+    """``rep, near, d2, own, copies``: up to k near classes of each class from every bucket that it asked, with the sizes of both,
+    none further than ``within``. A pair can come from several buckets; the best k are still to be taken."""
+    import numpy as np
 
-    ``before`` counts the other keys that come before those of ``near``: those of the own class and of nearer classes.
-    """
+    spark = classes.sparkSession
+    total = classes.count()
+    n_pivots = int(min(options.most_pivots, max(2, -(-total // options.per_pivot))))
+    pivots = Pivots(drawn(classes, "rep", "v", n_pivots, total, 11), options)
+    if not len(pivots.x):
+        return spark.createDataFrame([], _FOUND)
+    margin = 2 * within if np.isfinite(within) else 0.0
+    # work of each file, estimated on a sample
+    some = drawn(classes, "rep", "v", options.sample, total, 13)
+    some = some if len(some) else pivots.x + pivots.middle
+    first = pivots.nearest(some, lambda f: np.ones(len(f), np.int64), 0.0)[2]
+    far = np.float32(options.far * np.median(first[first > 0])) if (first > 0).any() else np.float32(np.inf)
+    row, pivot, d, rank = pivots.nearest(some, lambda f: np.where(f > far, options.far_asked, options.asked), margin)
+    of_first = np.zeros(len(some), np.float32)
+    of_first[row[rank == 0]] = d[rank == 0]
+    places = np.where(of_first > far, options.far_places, options.places)
+    scale = total / len(some)
+    posts = np.maximum(np.bincount(pivot[rank < places[row]], minlength=len(pivots.x)), 0.5) * scale
+    asks = np.maximum(np.bincount(pivot, minlength=len(pivots.x)), 0.5) * scale
+    work = posts * asks
+    by = halved(pivots.x, lambda rows: work[rows].sum() <= options.task_pairs and len(rows) <= 32767)
+    bucket, local, parts = np.empty(len(pivots.x), np.int32), np.empty(len(pivots.x), np.int16), np.ones(len(by), np.int64)
+    for b, rows in enumerate(by):
+        bucket[rows], local[rows] = b, np.arange(len(rows))
+        parts[b] = max(1, int(np.ceil(work[rows].sum() / options.task_pairs)))
+    sent = spark.sparkContext.broadcast((pivots, bucket, local, parts, far))
+    messages = classes.select("rep", "copies", "v").mapInArrow(_represent(sent, options, margin), _SENT)
+    return messages.groupBy("bucket", "part").applyInArrow(_walk(k, within), _FOUND)
+
+
+def _ranked(classes: DataFrame, k: int, options: Permutations, within: float = float("inf")) -> DataFrame:
+    """``rep, near, distance, own, copies``: near classes of which a key may be among the k nearest of a key of ``rep``: fewer than
+    k other keys are strictly nearer, those of the own class among them."""
+    found = nearest_classes(classes, k, options, within).repartition("rep").groupBy("rep", "near").agg(F.min("d2").alias("d2"), F.first("own").alias("own"), F.first("copies").alias("copies"))
     by = Window.partitionBy("rep").orderBy("d2", "near")
-    best = nearest_classes(classes, k, options).withColumn("at", F.row_number().over(by)).where(F.col("at") <= k)
-    before = F.col("own") - 1 + F.coalesce(F.sum("copies").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    best = best.withColumn("before", before).where(F.col("before") < k)
-    return best.select("rep", "near", F.sqrt(F.col("d2").cast("double")).alias("distance"), "own", "copies", "before")
+    best = found.withColumn("at", F.row_number().over(by)).where(F.col("at") <= k)
+    nearer = F.sum("copies").over(Window.partitionBy("rep").orderBy("d2")) - F.sum("copies").over(Window.partitionBy("rep", "d2"))
+    best = best.withColumn("before", F.col("own") - 1 + nearer).where(F.col("before") < k)
+    return best.select("rep", "near", F.sqrt("d2").alias("distance"), "own", "copies")
 
 
-def _by_key(classes: DataFrame, ranked: DataFrame, k: int, own_within: bool) -> DataFrame:
+def _by_key(several: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
     """``id, near, distance``: the pairs of keys behind pairs of classes, and those within a class. Only classes of several keys
     are looked up; the first k + 1 keys of a class stand for it as neighbours."""
-    several = classes.where("copies > 1").select("rep", "id")
-    listed = several.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("at") <= k + 1).select("rep", F.col("id").alias("other"))
+    from .topn import top_n
+
+    listed = top_n(several.withColumn("s", F.lit(0.0)), "rep", "s", "id", k + 1).select("rep", F.col("id").alias("other"))
     plain = ranked.where("copies = 1").withColumn("other", F.col("near"))
     full = ranked.where("copies > 1").join(listed.withColumnRenamed("rep", "near"), "near").select(*plain.columns)
     both = plain.unionByName(full)
     single = both.where("own = 1").select(F.col("rep").alias("id"), "other", "distance")
     copied = both.where("own > 1").join(several, "rep").select("id", "other", "distance")
     out = single.unionByName(copied)
-    if own_within:
-        out = out.unionByName(several.join(listed, "rep").where("id <> other").select("id", "other", F.lit(0.0).alias("distance")))
-    return out.withColumnRenamed("other", "near")
+    out = out.unionByName(several.join(listed, "rep").where("id <> other").select("id", "other", F.lit(0.0).alias("distance")))
+    best = Window.partitionBy("id").orderBy("distance", "other")
+    return out.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k).withColumnRenamed("other", "near")
 
 
 def nearest(df: DataFrame, k: int = 5, key: str = "icsd_id", vector: str = "pca32", order: str = "row_ix", options: Permutations = Permutations()) -> DataFrame:
@@ -292,21 +356,18 @@ def nearest(df: DataFrame, k: int = 5, key: str = "icsd_id", vector: str = "pca3
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    classes = stage(distinct_vectors(df, key, vector, order), "classes")
-    ranked = stage(_ranked(classes, k, options), "ranked")
-    pairs = _by_key(classes, ranked, k, True)
-    out = pairs.withColumn("rk", F.row_number().over(Window.partitionBy("id").orderBy("distance", "near"))).where(F.col("rk") <= k)
-    return out.select("id", "rk", "near", "distance")
+    with staging():
+        classes, several = distinct_vectors(df, key, vector, order)
+        return keep_staged(stage(_by_key(several, stage(_ranked(classes, k, options), "ranked"), k).select("id", "rk", "near", "distance"), "nearest"))
 
 
 def close_pairs(df: DataFrame, within: float = 0.25, k: int = 5, key: str = "icsd_id", vector: str = "pca32", order: str = "row_ix", options: Permutations = Permutations()) -> DataFrame:
-    """``a, b`` with a < b: keys at most ``within`` apart, one of them among the k nearest of the other. See ``nearest``.
-
-    Ranks are known before pairs of classes become pairs of keys, so only the close ones are carried on.
-    """
-    classes = stage(distinct_vectors(df, key, vector, order), "classes")
-    ranked = stage(_ranked(classes, k, options).where(F.col("distance") <= within), "close")
-    pairs = _by_key(classes, ranked, k, True)
-    # a class of several keys may reach beyond the k nearest
-    pairs = pairs.withColumn("rk", F.row_number().over(Window.partitionBy("id").orderBy("distance", "near"))).where(F.col("rk") <= k)
-    return pairs.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
+    """``a, b`` with a < b: keys at most ``within`` apart, one of them among the k nearest of the other. None is lost: a vector is
+    posted with its nearest pivot, and a query walks every file whose pivot may have one within the radius. See ``nearest``."""
+    if k < 1 or within < 0:
+        raise ValueError("k must be at least 1 and within not negative")
+    with staging():
+        classes, several = distinct_vectors(df, key, vector, order)
+        ranked = stage(_ranked(classes, k, options, within).where(F.col("distance") <= within), "close")
+        pairs = _by_key(several, ranked, k).select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
+        return keep_staged(stage(pairs, "pairs"))

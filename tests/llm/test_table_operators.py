@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticeworks.llm import clusters, common, entities, materials, neighbours, quantiles, topn
-from latticeworks.llm.cells import isolated
+from latticeworks.llm.cells import Profiles, isolated, proposals
 
 
 def test_top_n_equals_sorting(spark):
@@ -92,14 +93,44 @@ def grid(n, seed=0, scale=1.0, centre=None):
 def test_odd_vectors_take_no_part(spark):
     ok = [0.5] * 32
     rows = [(1, ok), (2, None), (3, []), (4, ok[:31]), (5, [float("nan"), *ok[1:]]), (6, [float("inf"), *ok[1:]]), (7, [None, *ok[1:]]), (None, ok), (1, ok), (8, ok), (9, [0.0, *ok[1:]]), (9, [-0.0, *ok[1:]])]
-    got = {r["id"]: (r["rep"], r["copies"]) for r in common.distinct_vectors(vectors(spark, rows), "icsd_id", "pca32", "row_ix").collect()}
-    assert got == {1: (1, 2), 8: (1, 2), 9: (9, 1)}
+    classes, several = common.distinct_vectors(vectors(spark, rows), "icsd_id", "pca32", "row_ix")
+    assert {r["rep"]: r["copies"] for r in classes.collect()} == {1: 2, 9: 1}
+    assert {tuple(r) for r in several.collect()} == {(1, 1), (8, 1)}
 
 
 def test_key_with_several_vectors_keeps_the_first(spark):
     rows = [(1, [1.0] * 32), (1, [2.0] * 32), (2, [2.0] * 32)]
-    got = {r["id"]: r["v"][0] for r in common.distinct_vectors(vectors(spark, rows), "icsd_id", "pca32", "row_ix").collect()}
-    assert got == {1: 1.0, 2: 2.0}
+    classes, several = common.distinct_vectors(vectors(spark, rows), "icsd_id", "pca32", "row_ix")
+    assert {r["rep"]: r["v"][0] for r in classes.collect()} == {1: 1.0, 2: 2.0}
+    assert several.collect() == []
+
+
+def test_a_vector_held_by_most_keys_is_no_burden(spark):
+    df = spark.range(6000).select(F.col("id").alias("icsd_id"), F.col("id").alias("row_ix"), F.transform(F.sequence(F.lit(1), F.lit(32)), lambda k: F.when(F.col("id") % 3 > 0, 1.0).otherwise(F.rand(4) + k).cast("float")).alias("pca32"))
+    classes, several = common.distinct_vectors(df, "icsd_id", "pca32", "row_ix")
+    assert classes.count() == 2001
+    assert several.count() == 4000
+    plan = df.select(F.xxhash64("pca32").alias("h"), "pca32").dropDuplicates(["h"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Exchange") < plan.rindex("Aggregate")  # copies end before the exchange
+
+
+def test_equal_distances_go_by_key_across_classes(spark):
+    at = lambda v: [float(v)] + [0.0] * 31
+    df = vectors(spark, [(1, at(1)), (10, at(1)), (11, at(1)), (2, at(-1)), (100, at(0))])
+    got = {r["rk"]: r["near"] for r in neighbours.nearest(df, 2).where("id = 100").collect()}
+    assert got == {1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("options", [neighbours.Permutations(per_pivot=4, asked=1, far_asked=1, places=1, far_places=1), neighbours.Permutations(per_pivot=4, direct=8, group=4, task_pairs=50.0, asked=2, far_asked=3)])
+def test_no_close_pair_is_lost(spark, options):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([grid(150, k, 0.06, rng.normal(size=32)) for k in range(6)] + [grid(100, 77, 3.0)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = {(min(i, int(j)), max(i, int(j))) for i in range(len(x)) for j in np.argsort(d[i], kind="stable")[:5] if d[i, j] <= 0.5}
+    assert len(want) > 500
+    assert {tuple(r) for r in neighbours.close_pairs(vectors(spark, rows), 0.5, options=options).collect()} == want
 
 
 def test_neighbours_of_few_are_exact(spark):
@@ -131,7 +162,7 @@ def test_recall_on_clustered_vectors(spark):
         d += ((x[:, None, s : s + 8] - x[None, :, s : s + 8]) ** 2).sum(-1)
     np.fill_diagonal(d, np.inf)
     fifth = np.sqrt(np.sort(d, 1)[:, 4])
-    options = neighbours.Permutations(pivots_per_bucket=8, slice_rows=300)
+    options = neighbours.Permutations(per_pivot=32, direct=64, group=16, task_pairs=2e5)
     got = neighbours.nearest(vectors(spark, rows), 5, options=options).toPandas()
     assert (got.groupby("id").size() == 5).all()
     assert (got.distance.to_numpy() <= fifth[got.id.to_numpy()] + 1e-4).mean() >= 0.9
@@ -203,6 +234,49 @@ def test_large_groups_equal_the_definition(spark, exact_rows):
     assert {frozenset(s) for s in got.values()} == brute_clusters(x)
 
 
+@pytest.mark.parametrize("limits", [clusters.Limits(exact_rows=300, block_rows=200, cell_rows=256, view_units=200), clusters.Limits()])
+def test_a_set_within_a_large_group(spark, limits):
+    # spread rows that hold a tight ten, and far rows; with the limits of 300 the group is judged in blocks
+    x = np.concatenate([grid(900, 61, 1.0), grid(10, 62, 0.01, np.full(32, 0.3)), grid(200, 63, 1.0, np.full(32, 40.0))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in clusters.cluster_records(vectors(spark, rows), limits=limits).collect():
+        got.setdefault(r["cluster"], set()).add(r["id"])
+    assert {frozenset(s) for s in got.values()} == {frozenset(range(900, 910)), frozenset(range(910, 1110))}
+
+
+def test_profiles_propose_as_whole_orders_do():
+    rng = np.random.default_rng(0)
+    for trial in range(40):
+        parts = [rng.normal(size=(rng.integers(3, 60), 32)) * rng.choice([0.01, 0.1, 0.5, 1]) + rng.normal(size=32) * rng.choice([0.5, 2, 6]) for _ in range(rng.integers(1, 8))]
+        x = np.concatenate(parts).astype(np.float32)
+        n, name = len(x), rng.integers(-(2**62), 2**62, len(x))
+        w = rng.integers(1, 4, n) if trial % 2 else np.ones(n, np.int64)
+        want = sorted((i, t, c) for i, t, c, _ in proposals(x, w, name, np.arange(n), n, 8, 1.3))
+        block, got = rng.integers(0, 4, n), []
+        for b in range(4):
+            own, rest = np.flatnonzero(block == b), np.flatnonzero(block != b)
+            if len(own):
+                p = Profiles(own, w[own], name[own], x[own], n, 8, 1.3)
+                for part in np.array_split(rest, 3):
+                    p.add(part, w[part], name[part], x[part])
+                got += [(int(own[r]), int(t), int(c)) for r, t, c, _ in zip(*(np.concatenate(a) for a in zip(*p.proposals(), strict=True)), strict=True)] if (held := list(p.proposals())) and held else []
+        assert sorted(got) == want
+
+
+def test_staged_tables_are_deleted(spark, tmp_path):
+    from latticeworks import session
+
+    df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(sample_of_clusters(1))])
+    folder = session.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with session.staging():
+        assert clusters.cluster_records(df).count()
+        assert len(set(os.listdir(folder)) - before) == 1  # what the result reads
+        assert neighbours.nearest(df).count()
+    assert set(os.listdir(folder)) == before
+
+
 @pytest.mark.parametrize("kind", ["one", "third"])
 def test_wide_clusters_of_single_rows(spark, kind):
     rng = np.random.default_rng(5)
