@@ -41,7 +41,7 @@ class Permutations:
     direct: int = 4096  #: of more pivots only those of groups that may matter are compared
     group: int = 64  #: pivots in a group
     sample: int = 16384  #: vectors on which work is estimated
-    task_pairs: float = 2e8  #: comparisons aimed at per task
+    task_pairs: float = 4e8  #: comparisons aimed at per task
 
 
 class Pivots:
@@ -53,6 +53,7 @@ class Pivots:
         self.middle = pivots.mean(0) if len(pivots) else np.zeros(VECTOR_WIDTH, np.float32)
         self.x = pivots - self.middle
         self.squares = (self.x * self.x).sum(1)
+        self.columns = np.concatenate([self.x, np.ones((len(self.x), 1), np.float32), self.squares[:, None]], 1).T.copy()
         self.groups = None
         if len(pivots) > options.direct:
             by = halved(self.x, lambda rows: len(rows) <= options.group)
@@ -61,9 +62,12 @@ class Pivots:
             self.groups = by, centres, radius * np.float32(1 + 1e-5)
             self.enough = max(8 * options.far_asked, 512)
 
-    def _squared(self, x, among=None):
-        p, squares = (self.x, self.squares) if among is None else (self.x[among], self.squares[among])
-        return squares - 2 * (x @ p.T) + (x * x).sum(1)[:, None]
+    def _squared(self, y, among=None):
+        """Squared distances of the rows of y to pivots, as one product."""
+        import numpy as np
+
+        own = (y * y).sum(1)[:, None]
+        return np.concatenate([-2 * y, own, np.ones_like(own)], 1) @ (self.columns if among is None else self.columns[:, among])
 
     def nearest(self, x, least, margin: float):
         """(row, pivot, distance, rank): of each row of x its nearest pivots in order, at least ``least`` of them, a function of the
@@ -81,11 +85,12 @@ class Pivots:
         import numpy as np
 
         d = self._squared(y, among)
-        slack = 2e-6 * ((y * y).sum(1) + float(self.squares.max()))[:, None]
-        first = d.min(1)[:, None]
-        ring = np.sqrt(np.maximum(d - slack, 0)) <= np.sqrt(np.maximum(first, 0) + slack) + margin if margin else None
-        k = least(np.sqrt(np.maximum(first[:, 0], 0)))
-        k = np.minimum(np.maximum(k, ring.sum(1)) if margin else k, d.shape[1])
+        first = np.maximum(d.min(1), 0)
+        k = np.minimum(least(np.sqrt(first)), d.shape[1])
+        if margin:
+            slack = 2e-6 * ((y * y).sum(1) + float(self.squares.max()))
+            ring = (np.sqrt(first + slack) + margin) ** 2 + slack
+            k = np.maximum(k, (d <= ring[:, None]).sum(1))
         most = int(k.max())
         best = np.argpartition(d, most - 1, axis=1)[:, :most] if most < d.shape[1] else np.tile(np.arange(most), (len(y), 1))
         d = np.take_along_axis(d, best, 1)
@@ -118,23 +123,19 @@ class Pivots:
 
 
 def halved(x, fits):
-    """Row numbers of x in parts, halved along the axis of the largest spread until each ``fits``."""
+    """Row numbers of x in parts, cut in two by two-means until each ``fits``."""
     import numpy as np
 
+    from .cells import halve
+
     out, todo = [], [np.arange(len(x))]
     while todo:
         rows = todo.pop()
         if len(rows) < 2 or fits(rows):
             out.append(rows)
             continue
-        part = x[rows] - x[rows].mean(0)
-        axis = np.ones(part.shape[1]) / part.shape[1] ** 0.5
-        for _ in range(12):
-            axis = part.T @ (part @ axis)
-            axis /= max(np.linalg.norm(axis), 1e-30)
-        order = np.argsort(part @ axis, kind="stable")
-        half = len(rows) // 2
-        todo += [rows[order[:half]], rows[order[half:]]]
+        side = halve(x[rows], 8)
+        todo += [rows[~side], rows[side]]
     return out
 
 
@@ -194,13 +195,14 @@ def _walk(k: int, within: float):
         def compare(file, asking, first):
             px = x[file] - x[file[0]]
             squares = (px * px).sum(1)
+            px = np.concatenate([px, squares[:, None]], 1).T.copy()
             top, few = float(squares.max()), min(k + 1, len(file))
             step = max(1, 400_000 // len(file))
             for s in range(0, len(asking), step):
                 q = asking[s : s + step]
                 y = x[q] - x[file[0]]
                 own = (y * y).sum(1)
-                d = squares - 2 * (y @ px.T)
+                d = np.concatenate([-2 * y, np.ones((len(y), 1), np.float32)], 1) @ px
                 limit = best.limit[q] - own
                 if first and np.isinf(within) and few < len(file):
                     limit = np.minimum(limit, np.partition(d, few - 1, axis=1)[:, few - 1])
