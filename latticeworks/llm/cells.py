@@ -183,31 +183,35 @@ def links(ids, n, c, r, least: int):
             dst += ids[part[i, :e]].tolist()
             dist += pd[i, :e].tolist()
             reach += [float(pd[i, e - 1])] * e
-        for i in np.flatnonzero(~gap.any(1)) if k < len(ids) - 1 else ():
-            unit = ids[rows[small[i]]]
-            by = np.argsort(ds[i], kind="stable")[:-1]  # the last is the unit itself
-            far = ds[i, by]
-            ends = np.flatnonzero((n[rows[small[i]]] + np.cumsum(n[by])[:-1] >= least) & (far[1:] >= GAP * far[:-1]))
-            if not len(ends):
-                src.append(unit)
-                dst.append(unit)
-                dist.append(0.0)
-                reach.append(np.inf)
-                continue
-            e = int(ends[0]) + 1
-            for v in {*by[:least].tolist(), int(by[:e][np.argmin(ids[by[:e]])])}:
-                src.append(unit)
+        open_ = np.flatnonzero(~gap.any(1)) if k < len(ids) - 1 else np.zeros(0, np.int64)
+        if not len(open_):
+            continue
+        # ``NEAR`` units hold more than ``least`` rows, so any gap behind them counts
+        unit, every = ids[rows[small[open_]]], ds[open_]
+        ranked = np.sort(every, axis=1)[:, k - 1 : -1]  # the last is the unit itself
+        ends = ranked[:, 1:] >= GAP * ranked[:, :-1]
+        ended = ends.any(1)
+        bound = ranked[np.arange(len(open_)), np.argmax(ends, axis=1)]
+        for u in unit[~ended]:
+            src.append(u)
+            dst.append(u)
+            dist.append(0.0)
+            reach.append(np.inf)
+        least_id = np.where(every <= bound[:, None], ids[None, :], np.iinfo(np.int64).max).argmin(1)
+        for i in np.flatnonzero(ended):
+            for v in {*part[open_[i], :least].tolist(), int(least_id[i])}:
+                src.append(unit[i])
                 dst.append(ids[v])
-                dist.append(float(ds[i, v]))
-                reach.append(float(far[e - 1]))
+                dist.append(float(every[i, v]))
+                reach.append(float(bound[i]))
     return src, dst, dist, reach
 
 
 class Profiles:
     """The orders of distances of the rows of a block within a group that is seen batch by batch, as far as gaps need them.
 
-    A gap in the order of all rows is a gap in the order of any of them. So each row's distances to a sample and to the nearest
-    of its block are sorted first; between two of them that are less than ``apart`` apart there can be no gap, and what falls
+    A gap in the order of all rows is a gap in the order of any of them. So each row's distances to a sample of its block are
+    sorted first; between two of them that are less than ``apart`` apart there can be no gap, and what falls
     there is only counted. What falls into the open intervals, below the first, into gaps and above the last, is listed. The
     sample grows with the group, so that a row lists some ``LISTED`` others whatever the size.
     """
@@ -220,15 +224,13 @@ class Profiles:
         self.x, self.weight, self.name = x - self.middle, weight.astype(np.int64), name
         n = len(x)
         sample = np.linspace(0, n - 1, min(n, max(256, held // self.LISTED))).astype(np.int64)
-        near = min(16, n - 1)
-        step = max(1, 2_000_000 // max(n, 1))
+        step = 4096
         sample = np.unique(sample)
-        known = np.empty((n, len(sample) + near))
+        known = np.empty((n, len(sample)))
         for s in range(0, n, step):
-            d = squared(self.x[s : s + step], self.x)
-            d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
-            nearest = np.partition(d, near - 1, axis=1)[:, :near] if near else d[:, :0]
-            known[s : s + step] = np.sort(np.concatenate([d[:, sample], nearest], 1), 1)
+            known[s : s + step] = squared(self.x[s : s + step], self.x[sample])
+        known[sample, np.arange(len(sample))] = np.inf
+        known.sort(axis=1)
         # a row's own place in the sample is infinite
         self.low = known[:, 0] if known.shape[1] else np.full(n, np.inf)
         finite = np.isfinite(known)
@@ -236,6 +238,10 @@ class Profiles:
         a, b = known[:, :-1], known[:, 1:]
         row, at = np.nonzero((b >= self.ratio * a) & (b > a) & np.isfinite(b))
         self.gap_row, self.gap_a, self.gap_b = row, a[row, at], b[row, at]
+        self.gapped = np.unique(row)
+        self.plain = np.setdiff1d(np.arange(n), row)
+        self.squares = (self.x * self.x).sum(1)
+        self.products = np.concatenate([-2 * self.x, np.ones((n, 1))], 1).astype(np.float32)
         self.inside = np.zeros((len(row), 4))  # rows, records and the halves of names up to a gap
         self.seen = np.zeros(3, np.int64)  # rows, records, names of the group
         self.lists: list = []
@@ -248,20 +254,38 @@ class Profiles:
         weight = weight.astype(np.int64)
         self.seen += np.array([len(x), weight.sum(), name.sum()], np.int64)
         y = x - self.middle
+        squares = (y * y).sum(1)
+        # distances less the squares of the block's rows, in one product; what may be listed is looked at again in double precision
+        with_squares = np.concatenate([y, squares[:, None]], 1).astype(np.float32)
+        step = max(1, 4_000_000 // max(len(x), 1))
+        for s in range(0, len(self.plain), step):
+            rows = self.plain[s : s + step]
+            d = self.products[rows] @ with_squares.T
+            slack = 4e-6 * (self.squares[rows] + squares.max())
+            low, high = self.low[rows] - self.squares[rows] + slack, self.high[rows] - self.squares[rows] - slack
+            r, c = np.nonzero((d < low.astype(np.float32)[:, None]) | (d > high.astype(np.float32)[:, None]))
+            r = rows[r]
+            e = self.x[r] - y[c]
+            e = np.einsum("ij,ij->i", e, e)
+            if own:
+                e[r == c] = -1  # itself
+            out = (e < self.low[r]) | (e > self.high[r])
+            self._list(r[out], e[out], weight[c[out]], name[c[out]])
+        if not len(self.gap_row):
+            return
         halves = np.stack([np.ones(len(x)), weight.astype(float), (name & 0xFFFFFFFF).astype(float), (name >> 32).astype(float)], 1)
         step = max(1, 2_000_000 // max(len(x), 1))
-        for s in range(0, len(self.x), step):
-            d = squared(self.x[s : s + step], y)
+        for s in range(0, len(self.gapped), step):
+            rows = self.gapped[s : s + step]
+            d = squared(self.x[rows], y)
             if own:
-                d[np.arange(len(d)), np.arange(s, s + len(d))] = -1  # itself
-            e = s + len(d)
-            out = (d < self.low[s:e, None]) | (d > self.high[s:e, None])
-            r, c = np.nonzero(out)
-            self._list(r + s, d[r, c], weight[c], name[c])
-            lo, hi = np.searchsorted(self.gap_row, [s, e])
-            for g in range(lo, hi, max(1, step)):
-                some = slice(g, min(g + max(1, step), hi))
-                at = d[self.gap_row[some] - s]
+                d[np.arange(len(d)), rows] = -1
+            r, c = np.nonzero((d < self.low[rows, None]) | (d > self.high[rows, None]))
+            self._list(rows[r], d[r, c], weight[c], name[c])
+            lo, hi = np.searchsorted(self.gap_row, [rows[0], rows[-1] + 1])
+            for g in range(lo, hi, step):
+                some = slice(g, min(g + step, hi))
+                at = d[np.searchsorted(rows, self.gap_row[some])]
                 below = at <= self.gap_a[some, None]
                 self.inside[some] += below @ halves
                 r, c = np.nonzero(~below & (at < self.gap_b[some, None]))
