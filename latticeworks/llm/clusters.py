@@ -63,26 +63,26 @@ def _route(centres, at: str = "v"):
     return run
 
 
-def route(rows: DataFrame, limits: Limits) -> DataFrame:
-    """Adds the cell of each row, so that no cell holds many more than ``cell_rows``."""
+def route(rows: DataFrame, total: int, limits: Limits) -> tuple[DataFrame, float]:
+    """Adds the cell of each row, so that no cell holds many more than ``cell_rows``; and the rms radius of the sample."""
     from .cells import bisect
 
     spark = rows.sparkSession
-    total = rows.count()
     x = drawn(rows, "id", "v", limits.sample, total, 5)
+    spread = float(x.astype(float).var(0).sum() ** 0.5) if len(x) else 0.0
     top, below = bisect(x, min(max(1, -(-total // limits.cell_rows)), max(1, len(x) // 16))), []
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", cell int"
     next_cell, whole = len(top), set()
     while True:
         routed = rows.mapInArrow(_route(spark.sparkContext.broadcast((top, below))), schema)
         if total <= 3 * limits.cell_rows:
-            return routed
+            return routed, spread
         counts = routed.groupBy("cell").count().where(F.col("count") > 3 * limits.cell_rows).toArrow()
         large = {c: n for c, n in zip(counts.column(0).to_pylist(), counts.column(1).to_pylist(), strict=True) if c not in whole}
         # the largest first, as many as a sample serves
         large = dict(sorted(large.items(), key=lambda p: (-p[1], p[0]))[: max(1, limits.sample // 256)])
         if not large:
-            return routed
+            return routed, spread
         each = limits.sample // len(large)
         share = F.create_map(*[F.lit(v) for c, n in large.items() for v in (c, int(2**31 * min(1, each / n)))])[F.col("cell")]
         part = routed.where(F.pmod(F.xxhash64("id", F.lit(7 + len(below))), F.lit(2**31)) < share).sort("id").select("cell", "v").toArrow()
@@ -461,34 +461,34 @@ def _whole_views(members: DataFrame, units: DataFrame, lost: DataFrame, found: D
     return _standing(whole, _near_large(whole, rows, units), classes, limits)
 
 
-def cluster_records(df: DataFrame, key: str = "icsd_id", vector: str = "pca32", order: str = "row_ix", limits: Limits = Limits()) -> DataFrame:
+def cluster_records(df: DataFrame, key: str = "icsd_id", vector: str = "pca32", order: str = "row_ix", limits: Limits = Limits(), among: DataFrame | None = None) -> DataFrame:
     """``id, cluster``: the records that belong to a cluster, named by its smallest record.
 
     A cluster is a set of at least ``least`` records outside of which everything is at least ``apart`` times as far from each
     member as any other member is, and which contains no smaller such set. Rows without a valid vector and null keys take no
-    part, repeated keys count once, equal vectors are separate records at distance 0. No rows give no rows. Other columns are
-    ignored.
+    part, repeated keys count once, equal vectors are separate records at distance 0. Of ``among``, a frame of one column, only keys
+    in it take part. No rows give no rows. Other columns are ignored.
     """
     with staging():
-        return keep_staged(_cluster(df, key, vector, order, limits))
+        return keep_staged(_cluster(df, key, vector, order, limits, among))
 
 
-def _cluster(df: DataFrame, key: str, vector: str, order: str, limits: Limits) -> DataFrame:
-    classes, several = distinct_vectors(df, key, vector, order)
+def _cluster(df: DataFrame, key: str, vector: str, order: str, limits: Limits, among: DataFrame | None) -> DataFrame:
+    classes, several = distinct_vectors(df, key, vector, order, among)
     reps = classes.withColumnRenamed("rep", "id")
-    mean = reps.agg(*[F.var_pop(F.col("v")[k].cast("double")).alias(f"s{k}") for k in range(VECTOR_WIDTH)]).first()
-    if mean[0] is None:
+    total = reps.count()
+    if not total:
         return df.sparkSession.createDataFrame([], "id bigint, cluster bigint")
-    moments = sum(mean)
-    cells = route(reps, limits)
-    members = stage(cells.groupBy("cell").applyInArrow(_make_units(limits, limits.widest * moments**0.5), _MEMBER), "members")
+    cells, spread = route(reps, total, limits)
+    members = stage(cells.groupBy("cell").applyInArrow(_make_units(limits, limits.widest * spread), _MEMBER), "members")
     units = members.where(F.col("c").isNotNull()).select("unit", "n", "c", "rms", "radius")
     pairs, lost = link_units(units, limits)
     labels = grouped(units, pairs)
     # centre and radii of each group from its units
     parts = units.join(labels, "unit")
-    mean = parts.select("grp", "n", F.posexplode("c").alias("k", "e")).groupBy("grp", "k").agg((F.sum(F.col("n") * F.col("e").cast("double")) / F.sum("n")).alias("e"))
-    centre = mean.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "e"))), lambda s: s["e"].cast("float")).alias("gc"))
+    dims = range(VECTOR_WIDTH)
+    mean = parts.groupBy("grp").agg(*[(F.sum(F.col("n") * F.col("c")[k].cast("double")) / F.sum("n")).cast("float").alias(f"m{k}") for k in dims])
+    centre = mean.select("grp", F.array(*[f"m{k}" for k in dims]).alias("gc"))
     off = F.aggregate(F.zip_with("c", "gc", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e.cast("double"))
     shape = parts.join(centre, "grp").withColumn("off", F.sqrt(off)).groupBy("grp").agg(
         F.sum("n").alias("gn"), F.max(F.col("off") + F.col("radius")).alias("gradius"), F.sqrt(F.sum(F.col("n") * (F.col("off") ** 2 + F.col("rms") ** 2)) / F.sum("n")).alias("grms"), F.first("gc").alias("gc")

@@ -47,10 +47,11 @@ def drawn(rows: DataFrame, key: str, vector: str, most: int, total: int, seed: i
     return matrix(part.sort(key).select(vector).toArrow().column(0))
 
 
-def distinct_vectors(df: DataFrame, key: str, vector: str, order: str) -> tuple[DataFrame, DataFrame]:
+def distinct_vectors(df: DataFrame, key: str, vector: str, order: str, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Classes of equal vectors, ``rep, copies, v``, and the keys of classes of several, ``id, rep``.
 
-    A key with several vectors keeps the one with the smallest ``order`` (a null order last). ``rep`` is the smallest key of a
+    A key with several vectors keeps the one with the smallest ``order`` (a null order last; of equal orders either). Of ``among``,
+    a frame of one column, only keys in it take part. ``rep`` is the smallest key of a
     class and ``copies`` its size, so a later stage works on classes and a vector held by a third of all keys costs no more than
     any other. Vectors are told apart by 128 bits of hashes; counts and minima are made before anything is exchanged. Null keys
     and rows without a valid vector are left out, other columns are ignored, no rows give no classes.
@@ -58,7 +59,10 @@ def distinct_vectors(df: DataFrame, key: str, vector: str, order: str) -> tuple[
     rows = df.where(F.col(key).isNotNull() & is_vector(vector)).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"), F.coalesce(F.col(order).cast("bigint"), F.lit(2**62)).alias("o"))
     # -0.0 and 0.0 are one value
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float"))).withColumn("h", F.xxhash64("v")).withColumn("g", F.xxhash64(F.lit(1), "v"))
-    ids = rows.groupBy("id").agg(F.min(F.struct("o", "h", "g")).alias("first")).select("id", "first.h", "first.g")
+    # the two take the same row: they compare the same orders in turn
+    ids = rows.groupBy("id").agg(F.min_by("h", "o").alias("h"), F.min_by("g", "o").alias("g"))
+    if among is not None:
+        ids = ids.join(among.select(F.col(among.columns[0]).cast("bigint").alias("id")), "id", "left_semi")
     ids = stage(ids, "ids")
     sizes = ids.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count("*").cast("int").alias("copies"))
     vectors = rows.select("h", "g", "v").dropDuplicates(["h", "g"])

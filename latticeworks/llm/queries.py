@@ -17,26 +17,24 @@ def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.one_per_key(table(spark, sf_dir, "node_events"), "community", "distance_to_centroid", "icsd_id", "ingest_ts")
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assigned = table(spark, sf_dir, "community_assignments").select("icsd_id").where(F.col("icsd_id").isNotNull())
-    return table(spark, sf_dir, "frozen_vectors").select("icsd_id", "row_ix", "pca32").join(assigned, "icsd_id", "left_semi")
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_records(table(spark, sf_dir, "frozen_vectors"), among=table(spark, sf_dir, "community_assignments").select("icsd_id"))
 
 
-def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _vectors(spark, sf_dir)
-    return clusters.member_distances(clusters.cluster_records(vectors), vectors)
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.member_distances(_clusters(spark, sf_dir), table(spark, sf_dir, "frozen_vectors"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.chain(clusters.cluster_records(_vectors(spark, sf_dir))).select(F.col("a").alias("icsd_id_a"), F.col("b").alias("icsd_id_b"))
+    return clusters.chain(_clusters(spark, sf_dir)).select(F.col("a").alias("icsd_id_a"), F.col("b").alias("icsd_id_b"))
 
 
 def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir).select(F.col("id").alias("icsd_id"), F.col("cluster").alias("community"), F.round("distance", 5).alias("distance"))
+    return _placed(spark, sf_dir).select(F.col("id").alias("icsd_id"), F.col("cluster").alias("community"), F.round("distance", 5).alias("distance"))
 
 
 def p1_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = clusters.describe(_clusters(spark, sf_dir))
+    out = clusters.describe(_placed(spark, sf_dir))
     return out.select(F.col("cluster").alias("community"), "size", F.round("radius", 5).alias("radius"), F.array_join("typical", ",").alias("typical"))
 
 
