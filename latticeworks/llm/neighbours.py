@@ -41,7 +41,7 @@ class Permutations:
     direct: int = 4096  #: of more pivots only those of groups that may matter are compared
     group: int = 64  #: pivots in a group
     sample: int = 16384  #: vectors on which work is estimated
-    task_pairs: float = 4e8  #: comparisons aimed at per task
+    task_pairs: float = 6e8  #: comparisons aimed at per task
 
 
 class Pivots:
