@@ -207,6 +207,10 @@ def links(ids, n, c, r, least: int):
     return src, dst, dist, reach
 
 
+#: Rows from which the orders of a whole group are not sorted in full.
+WHOLE_ORDERS = 768
+
+
 class Profiles:
     """The orders of distances of the rows of a block within a group that is seen batch by batch, as far as gaps need them.
 
@@ -223,7 +227,7 @@ class Profiles:
         self.middle = x.astype(np.float64).mean(0)
         self.x, self.weight, self.name = x - self.middle, weight.astype(np.int64), name
         n = len(x)
-        sample = np.linspace(0, n - 1, min(n, max(256, held // self.LISTED))).astype(np.int64)
+        sample = np.linspace(0, n - 1, min(n, max(512, held // self.LISTED))).astype(np.int64)
         step = 4096
         sample = np.unique(sample)
         known = np.empty((n, len(sample)))
@@ -373,22 +377,25 @@ def isolated(x, weight, own: int, least: int, apart: float):
     members, so every row proposes the beginnings of its own order that end at a wide enough gap, and a set is isolated if all
     its rows propose it. Isolated sets are nested or disjoint. Gives a label per row, -1 outside of all.
     """
-    from collections import defaultdict
-
     name = np.random.default_rng(1).integers(1, 2**62, len(x), dtype=np.int64)
-    votes: dict[tuple[int, int], int] = defaultdict(int)
-    one: dict[tuple[int, int], tuple[int, float]] = {}
-    exact = x.astype(np.float64)
-    for i, total, count, width in proposals(x, weight, name, np.arange(own), own, least, apart):
-        votes[total, count] += 1
-        one[total, count] = i, width
+    if own == len(x) > WHOLE_ORDERS:
+        profiles = Profiles(np.arange(own), weight, name, x, own, least, apart)
+        said = list(profiles.proposals())
+    else:
+        said = [tuple(np.array(c) for c in zip(*p, strict=True)) for p in (list(proposals(x, weight, name, np.arange(own), own, least, apart)),) if p]
+        said = [(i, total, count, np.sqrt(width)) for i, total, count, width in said]
     label, used, found = np.full(own, -1, np.int64), np.zeros(own, bool), 0
-    for key in sorted((k for k, v in votes.items() if v == k[1]), key=lambda k: k[1]):
-        i, width = one[key]
-        inside = squared(exact[i : i + 1], exact[:own])[0] <= width * (1 + 1e-12)
-        inside[i] = True
+    if not said:
+        return label
+    row, total, count, width = (np.concatenate(c) for c in zip(*said, strict=True))
+    order = np.lexsort((row, total, count))
+    row, total, count, width = row[order], total[order], count[order], width[order]
+    starts = np.flatnonzero(np.append(True, (total[1:] != total[:-1]) | (count[1:] != count[:-1])))
+    votes = np.diff(np.append(starts, len(row)))
+    for s in starts[votes == count[starts]]:
+        inside = row[s : s + count[s]]
         if not used[inside].any():
             label[inside] = found
             found += 1
-        used |= inside
+        used[inside] = True
     return label

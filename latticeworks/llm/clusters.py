@@ -1,14 +1,14 @@
 """Clusters of mutually similar records, by bisecting k-means across the cluster.
 
-1. Nodes of a bisecting k-means tree are split, largest dispersion first, until no cell holds more rows than a task should; the
-   splits are fitted on bounded samples and every row is routed, so a cell is where rows are looked at, never a result.
-2. Each cell is split on, over all its rows, until compactness limits hold. What is left are units: compact pieces of at most
-   64 rows, and single rows.
-3. A cluster that a split has cut lies in several units. Units meet again in views: cells of two other bisecting trees, fitted
-   on the units, each unit in the three nearest of both. There parts of one cluster are linked; links make groups.
-4. In every group, with whatever else is near it, the smallest isolated sets are found exactly. What lies within a group is
-   first taken into it. A group of more than ``exact_rows`` rows is judged in blocks of rows, each against all rows of the group,
-   and its sets against the rows of all other units that come near; this is quadratic in the group.
+1. Nodes are split by two-means, largest dispersion first, in rounds across the cluster, until none holds more rows than a task
+   should; the splits of a round are fitted on bounded samples and every row is routed.
+2. Within a node the splits go on over all its rows until compactness limits hold. The leaves are units: compact pieces of at
+   most 64 rows, and single rows.
+3. A cluster that a split has cut lies in several leaves. Leaves meet again in views: cells of two other bisecting trees, fitted
+   on the leaves, each leaf in the three nearest of both. There parts of one cluster are linked; links make groups.
+4. In every group the smallest isolated sets are found exactly, and what is near a set is held against it. What lies within a
+   group is first taken into it. A group of more than ``exact_rows`` rows is judged in blocks, each against all rows of the group
+   as they stream by; this is quadratic in the group, at some two nanoseconds a pair.
 
 Equal vectors are one row with its copies throughout, so repeated records cost nothing.
 """
@@ -409,8 +409,8 @@ def _sets_of_large(rows: DataFrame, large: DataFrame, limits: Limits) -> DataFra
     return stage(with_shape, "large_found")
 
 
-def _near_large(found: DataFrame, rows: DataFrame, units: DataFrame) -> DataFrame:
-    """``cluster, v``: rows of other groups so near a set of a large group that they may undo it, looked for in all units. There
+def _near_large(found: DataFrame, units: DataFrame) -> DataFrame:
+    """``unit, cluster, centre, clear, home``: units so near a set of a large group that rows of theirs may undo it. There
     are at most as many such sets as large groups have blocks of ``least`` rows; they are sent to the tasks in parts."""
     import numpy as np
 
@@ -425,7 +425,12 @@ def _near_large(found: DataFrame, rows: DataFrame, units: DataFrame) -> DataFram
     near = parts[0]
     for part in parts[1:]:
         near = near.unionByName(part)
-    near = near.join(shapes.withColumnRenamed("grp", "home"), "cluster").join(rows.select("unit", "grp", "v"), "unit").where(F.col("grp") != F.col("home"))
+    return near.join(shapes.withColumnRenamed("grp", "home"), "cluster").select("unit", "cluster", "centre", "clear", "home")
+
+
+def _near_rows(near: DataFrame, rows: DataFrame) -> DataFrame:
+    """``cluster, v``: of the units near sets, the rows of other groups that are not clear of them."""
+    near = near.join(rows.select("unit", "grp", "v"), "unit").where(F.col("grp") != F.col("home"))
     return near.where(_off("v", "centre") < F.col("clear")).select("cluster", "v")
 
 
@@ -458,7 +463,7 @@ def _whole_views(members: DataFrame, units: DataFrame, lost: DataFrame, found: D
     rows = members.select("id", "copies", "v", "unit").join(labels, "unit", "left").withColumn("of", F.col("grp")).withColumn("grp", F.coalesce("grp", "unit"))
     sizes = rows.where(F.col("of").isNotNull()).groupBy("grp").agg(F.sum("copies").alias("gn"), F.count("*").alias("held"))
     whole = _sets_of_large(rows.drop("of"), stage(sizes.where(F.col("gn") >= limits.least).select("grp", "held"), "large"), limits)
-    return _standing(whole, _near_large(whole, rows, units), classes, limits)
+    return _standing(whole, _near_rows(_near_large(whole, units), rows), classes, limits)
 
 
 def cluster_records(df: DataFrame, key: str = "icsd_id", vector: str = "pca32", order: str = "row_ix", limits: Limits = Limits(), among: DataFrame | None = None) -> DataFrame:
@@ -503,7 +508,7 @@ def _cluster(df: DataFrame, key: str, vector: str, order: str, limits: Limits, a
         labels = stage(labels.join(renamed.withColumnRenamed("old", "grp"), "grp").select("unit", F.col("new").alias("grp")), "labels")
         around = around.join(renamed.withColumnRenamed("old", "grp"), "grp").select(F.col("new").alias("grp"), "unit", "kind")
         around = around.join(labels.withColumnRenamed("grp", "own"), "unit").where(F.col("own") != F.col("grp")).drop("own")
-    rows = members.select("id", "copies", "v", "unit").join(labels, "unit")
+    rows = stage(members.select("id", "copies", "v", "unit").join(labels, "unit"), "rows")
     sizes = rows.groupBy("grp").agg(F.sum("copies").alias("gn"), F.count("*").alias("held")).where(F.col("gn") >= limits.least)
     small = sizes.where(F.col("held") <= limits.exact_rows).select("grp")
     large = stage(sizes.where(F.col("held") > limits.exact_rows).select("grp", "held"), "large")
@@ -511,12 +516,11 @@ def _cluster(df: DataFrame, key: str, vector: str, order: str, limits: Limits, a
     found = stage(own.groupBy("grp").applyInArrow(_isolate(limits), _SETS), "sets")
     sets = found.where(F.col("centre").isNotNull()).select("cluster", "grp", "centre", "clear")
     near = around.where("kind = 0").select("grp", "unit").distinct().join(sets, "grp").join(units.select("unit", "c", "radius"), "unit")
-    near = near.where(_off("c", "centre") - F.col("radius") < F.col("clear")).select("unit", "cluster", "centre", "clear")
-    near = near.join(members.select("unit", "v"), "unit").where(_off("v", "centre") < F.col("clear")).select("cluster", "v")
+    near = near.where(_off("c", "centre") - F.col("radius") < F.col("clear")).select("unit", "cluster", "centre", "clear", F.col("grp").alias("home"))
     if large.limit(1).count():
         of_large = _sets_of_large(rows, large, limits)
-        found, near = found.unionByName(of_large), near.unionByName(_near_large(of_large, rows, units))
-    of_rep = _standing(found, near, classes, limits)
+        found, near = found.unionByName(of_large), near.unionByName(_near_large(of_large, units))
+    of_rep = _standing(found, _near_rows(near, rows), classes, limits)
     if lost.limit(1).count():
         of_rep = stage(of_rep, "found")
         of_rep = of_rep.unionByName(_whole_views(members, units, lost, of_rep, classes, limits))
