@@ -35,9 +35,10 @@ def one_per_key(df: DataFrame, group: str, value: str, key: str, when: str | Non
 
 
 def day_runs(df: DataFrame, group: str, value: str, key: str, when: str) -> DataFrame:
-    """``day, g, k, w, x``: what one day contributes. Runs of any days can be kept and merged; see ``merge_runs``."""
-    rows = df.where(F.col(group).isNotNull() & F.col(key).isNotNull() & counting(value) & F.col(when).isNotNull())
-    rows = rows.select(F.to_date(when).alias("day"), F.col(group).alias("g"), F.col(key).alias("k"), F.unix_micros(when).alias("w"), (F.col(value).cast("double") + F.lit(0.0)).alias("x"))
+    """``day, g, k, w, x``: what one day contributes, rows without a time as a null day that comes before all. Runs of any days can be
+    kept and merged; see ``merge_runs``."""
+    rows = df.where(F.col(group).isNotNull() & F.col(key).isNotNull() & counting(value))
+    rows = rows.select(F.to_date(when).alias("day"), F.col(group).alias("g"), F.col(key).alias("k"), F.coalesce(F.unix_micros(when), F.lit(-(2**62))).alias("w"), (F.col(value).cast("double") + F.lit(0.0)).alias("x"))
     rows = rows.groupBy("day", "g", "k").agg(F.max(F.struct("w", (-F.col("x")).alias("y"))).alias("m"))
     return rows.select("day", "g", "k", "m.w", (-F.col("m.y")).alias("x"))
 
@@ -78,10 +79,12 @@ def order_statistics(values: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _sorted(values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sorted rows with their place in the partition, written once, and ``g, part, before, n, total``: the offset, the
-    number of rows and the group's size for each partition and group."""
+    """The sorted rows with their place in the partition, written once; a value that most rows share spreads over partitions by
+    the key ``k``, where there is one. And ``g, part, before, n, total``: the offset, the number of rows and the group's size for
+    each partition and group."""
     kind = dict(values.dtypes)["g"]
-    ranged = values.select("g", "x").repartitionByRange("g", "x").sortWithinPartitions("g", "x")
+    order = ["g", "x", *(["k"] if "k" in values.columns else [])]
+    ranged = values.select(*order).repartitionByRange(*order).sortWithinPartitions("g", "x").select("g", "x")
     placed = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_place, f"g {kind}, x double, part int, at bigint")
     spread = stage(placed, "sorted")
     counts = spread.groupBy("g", "part").agg(F.max("at").alias("n"))

@@ -59,8 +59,8 @@ def test_days_put_together_equal_the_whole(spark):
 
     rng = random.Random(2)
     t = lambda k: datetime.datetime(2024, 1, 1 + k)
-    rows = [(rng.randrange(3), i, rng.choice([rng.random(), None, float("nan"), float("inf"), -1.0]), t(rng.randrange(5)), 1) for i in range(300)]
-    rows += [(g, i, d, t((w.day + 1) % 9), p) for g, i, d, w, p in rows[:80]]
+    rows = [(rng.randrange(3), i, rng.choice([rng.random(), None, float("nan"), float("inf"), -1.0]), rng.choice([None, t(rng.randrange(5))]), 1) for i in range(300)]
+    rows += [(g, i, d, t((w.day + 1) % 9) if w else t(3), p) for g, i, d, w, p in rows[:80]]
     df = events(spark, rows)
     whole = quantiles.percentiles(quantiles.one_per_key(df, "community", "d", "icsd_id", "ts"))
     days = quantiles.percentiles(quantiles.merge_runs(quantiles.day_runs(df, "community", "d", "icsd_id", "ts")))
@@ -68,6 +68,18 @@ def test_days_put_together_equal_the_whole(spark):
     assert sorted(map(key, whole.collect())) == sorted(map(key, days.collect()))
 
 
+def test_a_value_of_most_rows_spreads_over_partitions(spark):
+    df = spark.range(40000).select(F.lit("g").alias("g"), F.when(F.col("id") % 3 > 0, 0.0).otherwise(F.col("id") / 7.0).alias("x"), F.col("id").alias("k"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["n"] for r in quantiles._sorted(df)[1].collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 40000
+    assert max(sizes) < 20000
+    assert {r["pct"]: r["value"] for r in quantiles.percentiles(df, (10, 50)).collect()} == {10: 0.0, 50: 0.0}
+
+
 def test_wrong_thresholds_equal_shares(spark):
     rng = np.random.default_rng(5)
     x = {g: np.round(rng.random(n), 3) for g, n in ((1, 200), (2, 37), (3, 1), (4, 1000))}
