@@ -14,7 +14,30 @@ FROM (SELECT community, pct, len(s) AS n, s, (len(s) - 1) * pct / 100.0::DOUBLE
       FROM (SELECT community, list(d ORDER BY d) AS s FROM x GROUP BY community), p)
 """
 
+_VECTORS = """
+SELECT icsd_id AS id, arg_min(pca32, row_ix)::DOUBLE[] AS v FROM frozen_vectors
+WHERE len(pca32) = 32 AND icsd_id IS NOT NULL AND len(list_filter(pca32, lambda e: isfinite(e))) = 32 GROUP BY icsd_id
+"""
+
 SQL = {
+    # every beginning of every record's order of distances that ends at a gap, and the sets that all their members propose
+    "p1_found": f"""
+WITH v AS MATERIALIZED (SELECT * FROM ({_VECTORS}) WHERE id IN (SELECT icsd_id FROM community_assignments)),
+d AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS d FROM v a, v b),
+r AS (SELECT a, d, row_number() OVER w AS n, lead(d) OVER w AS following, sum(hash(b) % 4294967296) OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM d WINDOW w AS (PARTITION BY a ORDER BY d, b)),
+g AS MATERIALIZED (SELECT a, n, s FROM r WHERE n >= 8 AND (following IS NULL OR (following > d AND following >= 1.3 * d))),
+whole AS (SELECT n, s FROM g GROUP BY n, s HAVING count(*) = n),
+least AS (SELECT a, min((n, s)) AS ns FROM g JOIN whole USING (n, s) GROUP BY a),
+named AS (SELECT a, ns.n AS n, ns.s AS s FROM (SELECT a, struct_pack(n := struct_extract(ns, 1), s := struct_extract(ns, 2)) AS ns FROM least)),
+kept AS (SELECT n, s FROM named GROUP BY n, s HAVING count(*) = n)
+SELECT * FROM (SELECT a AS icsd_id_a, lead(a) OVER (PARTITION BY n, s ORDER BY a) AS icsd_id_b FROM named JOIN kept USING (n, s)) WHERE icsd_id_b IS NOT NULL
+""",
+    "p3_found": f"""
+WITH v AS MATERIALIZED ({_VECTORS}),
+d AS (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS d FROM v a, v b WHERE a.id <> b.id),
+near AS (SELECT a, b, d FROM d WHERE d <= 0.25 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 5)
+SELECT DISTINCT least(a, b) AS icsd_id_a, greatest(a, b) AS icsd_id_b FROM near
+""",
     "p2_found": f"""
 WITH x AS ({_DISTANCES}), t AS (SELECT DISTINCT community, pct, threshold FROM community_thresholds)
 SELECT community, pct FROM t JOIN x USING (community)

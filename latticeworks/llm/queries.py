@@ -97,10 +97,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    pieces = split.split_texts(docs)
-    text = F.expr("substring(coalesce(text, ''), first_char + 1, end_char - first_char)")
-    return pieces.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "piece", "first_token", "end_token", "cut", text.alias("piece_text"))
+    pieces = split.split_texts(table(spark, sf_dir, "documents"), with_text=True)
+    return pieces.select("doc_id", "piece", "first_token", "end_token", "cut", "piece_text")
 
 
 def queries() -> dict[str, Query]:

@@ -88,8 +88,9 @@ def cut_points(tokens, kinds, limit: int, overlap: int, hard) -> list[tuple[int,
     return pieces
 
 
-def split_texts(df: DataFrame, limit: int = 512, overlap: int = 32, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``key, piece, first_token, end_token, first_char, end_char, cut``: the pieces of every text, in order from 0.
+def split_texts(df: DataFrame, limit: int = 512, overlap: int = 32, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, with_text: bool = False) -> DataFrame:
+    """``key, piece, first_token, end_token, first_char, end_char, cut``: the pieces of every text, in order from 0; with
+    ``with_text`` also ``piece_text``.
 
     A piece has at most ``limit`` tokens and consecutive ones share exactly ``overlap``. A text within the limit is one piece;
     the null and the empty text are one piece of no tokens. Characters are numbered by code point from 0; a piece that begins
@@ -138,12 +139,13 @@ def split_texts(df: DataFrame, limit: int = 512, overlap: int = 32, key: str = "
                     rows.append((k, a, b, int(chars[bytes_at[a]]), int(chars[bytes_at[b]]), kind))
             if at:
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at)), *[pa.array(c, pa.int32()) for c in cols[:5]], pa.array([KINDS[c] for c in cols[5]], pa.string())],
-                    names=[key, "piece", "first_token", "end_token", "first_char", "end_char", "cut"],
-                )
+                out = [batch.column(0).take(pa.array(at)), *[pa.array(c, pa.int32()) for c in cols[:5]], pa.array([KINDS[c] for c in cols[5]], pa.string())]
+                if with_text:
+                    texts = [batch.column(1)[i].as_py() or "" for i in range(batch.num_rows)]
+                    out.append(pa.array([texts[i][a:b] for i, a, b in zip(at, cols[3], cols[4], strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names=[key, "piece", "first_token", "end_token", "first_char", "end_char", "cut", "piece_text"][: len(out)])
 
-    schema = f"`{key}` {dict(df.dtypes)[key]}, piece int, first_token int, end_token int, first_char int, end_char int, cut string"
+    schema = f"`{key}` {dict(df.dtypes)[key]}, piece int, first_token int, end_token int, first_char int, end_char int, cut string" + (", piece_text string" if with_text else "")
     return df.select(key, text).mapInArrow(run, schema)
 
 
