@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import chemistry, flows, frames, graphs, reports
+from .plans import chemistry, files, flows, frames, graphs, reports
 
-_PARTS = (frames, graphs, reports, chemistry, flows)
+_PARTS = (frames, graphs, reports, chemistry, flows, files)
 
 
 def queries() -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, mean_vector
+from ..session import stage
 
 #: What may be sent to every task as one matrix. Larger sides are taken in slices of this size.
 MATRIX_BYTES = 64_000_000
@@ -73,13 +74,15 @@ def slices(df: DataFrame, v: str, rows_of: int | None = None) -> Iterator[DataFr
         yield df if parts == 1 else df.where(F.pmod(F.xxhash64(v), parts) == k)
 
 
-def _nearest(block, key_type: str, v_index: int):
-    ids, matrix = block
+def _nearest(sent, v_index: int, width: int):
+    """Adds the nearest row of a matrix to each record, or takes it instead of what an earlier matrix gave. ``width`` is the
+    number of the record's own columns."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        ids, matrix = sent.value
         squares = (matrix * matrix).sum(1)
         few = min(4, len(ids))
         for batch in batches:
@@ -95,7 +98,11 @@ def _nearest(block, key_type: str, v_index: int):
                 order = np.lexsort((ids[near], exact), axis=1)[:, 0]
                 best[s : s + 512] = np.take_along_axis(ids[near], order[:, None], 1)[:, 0]
                 dist[s : s + 512] = np.take_along_axis(exact, order[:, None], 1)[:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best), pa.array(dist)], names=[*batch.schema.names, "_community", "_distance"])
+            if batch.num_columns > width:
+                b, d = batch.column(width).to_numpy(zero_copy_only=False), batch.column(width + 1).to_numpy()
+                old = (d < dist) | ((d == dist) & (b < best))
+                best, dist = np.where(old, b, best), np.where(old, d, dist)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(best), pa.array(dist)], names=[*batch.schema.names[:width], "_community", "_distance"])
 
     return run
 
@@ -103,29 +110,26 @@ def _nearest(block, key_type: str, v_index: int):
 def nearest_centroid(records: DataFrame, centres: DataFrame, v: str = "v", community: str = "community", out: str = "assigned_community", d: str = "distance") -> DataFrame:
     """Adds to each record the nearest centroid and its distance, ties to the smaller community.
 
-    Centroids travel as one matrix if ``MATRIX_BYTES`` holds them; else slice after slice is compared and the better result
-    kept. Records with nulls or NaN in ``v`` must be left out before. Without centroids nothing comes out.
+    Centroids travel as one matrix if ``MATRIX_BYTES`` holds them; else slice after slice is compared, each in a pass that keeps
+    the better of its own and the earlier result, so that every row stays a row, equal ones too. Records with nulls or NaN in
+    ``v`` must be left out before. Without centroids nothing comes out.
     """
     import numpy as np
 
     key_type = dict(centres.dtypes)[community]
-    schema = ", ".join(f"`{n}` {t}" for n, t in records.dtypes) + f", _community {key_type}, _distance double"
+    width, schema = len(records.columns), ", ".join(f"`{n}` {t}" for n, t in records.dtypes) + f", _community {key_type}, _distance double"
     v_index, found = records.columns.index(v), None
     for part in slices(centres, "c"):
         got = part.select(community, "c").orderBy(community).toArrow()
         if not got.num_rows:
             continue
-        ids = got.column(0).to_numpy()
         matrix = np.asarray(got.column(1).combine_chunks().flatten()).reshape(got.num_rows, -1)
-        one = records.mapInArrow(_nearest((ids, matrix), key_type, v_index), schema)
-        found = one if found is None else found.unionByName(one)
-        several = found is not one
+        sent = records.sparkSession.sparkContext.broadcast((got.column(0).to_numpy(), matrix))
+        # one matrix at a time in a task
+        before = records if found is None else stage(found, "nearest")
+        found = before.mapInArrow(_nearest(sent, v_index, width), schema)
     if found is None:
         return records.where("false").withColumn(out, F.lit(None).cast(key_type)).withColumn(d, F.lit(None).cast("double"))
-    if several:
-        keep = [c for c in records.columns]
-        best = found.groupBy(*keep).agg(F.min(F.struct("_distance", "_community")).alias("_b"))
-        return best.select(*keep, F.col("_b._community").alias(out), F.col("_b._distance").alias(d))
     return found.withColumnRenamed("_community", out).withColumnRenamed("_distance", d)
 
 

@@ -57,8 +57,14 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that share a supplier and a day of delivery, as edges ``src, dst``: an undirected graph without weights."""
-    t = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= 40).select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.to_date("l_shipdate").alias("d")).distinct()
+    """Parts joined to the suppliers they come from, as edges ``src, dst``: an undirected graph without weights. Suppliers have
+    negative numbers."""
+    return table(spark, sf_dir, "lineitem").select((-F.col("l_suppkey")).cast("bigint").alias("src"), F.col("l_partkey").cast("bigint").alias("dst")).distinct()
+
+
+def companions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that share a supplier and a day of delivery, as edges ``src, dst``: a graph with triangles."""
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.to_date("l_shipdate").alias("d")).distinct()
     a, b = t.select(F.col("p").alias("src"), "s", "d"), t.select(F.col("p").alias("dst"), "s", "d")
     return a.join(b, ["s", "d"]).where(F.col("src") < F.col("dst")).select("src", "dst").distinct()
 
@@ -77,8 +83,9 @@ REPORT = """fx_report AS (SELECT l_orderkey * 8 + l_linenumber AS row_ix, l_part
   l_discount + l_tax * 3 AS score, l_returnflag AS class, l_quantity <= 20 AS in_basin FROM lineitem)"""
 EVENT_YEAR = "fx_event_year AS (SELECT o_custkey % 40 AS community, year(o_orderdate)::INTEGER AS year FROM orders)"
 POPULATION = "fx_population AS (SELECT 'p' || CAST(c_nationkey % 3 AS VARCHAR) AS population, c_mktsegment AS class, c_acctbal < 0 AS flag, c_custkey AS key FROM customer)"
-NETWORK = """t AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_quantity >= 40),
-fx_network AS (SELECT DISTINCT a.p AS src, b.p AS dst FROM t a JOIN t b ON a.s = b.s AND a.d = b.d AND a.p < b.p)"""
+NETWORK = "fx_network AS (SELECT DISTINCT (-l_suppkey)::BIGINT AS src, l_partkey::BIGINT AS dst FROM lineitem)"
+COMPANIONS = """t AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, CAST(l_shipdate AS DATE) AS d FROM lineitem),
+fx_companions AS (SELECT DISTINCT a.p AS src, b.p AS dst FROM t a JOIN t b ON a.s = b.s AND a.d = b.d AND a.p < b.p)"""
 
 
 def centres(rows: str, out: str = "centres", v: str = "v") -> str:
@@ -103,7 +110,7 @@ def wilson(k: str, n: str) -> tuple[str, str]:
 
 
 def knn(rows: str = "fx_entity", k: int = K, out: str = "nn") -> str:
-    return f"""{out} AS (SELECT * FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.v, b.v) AS dist,
+    return f"""{out} AS MATERIALIZED (SELECT * FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.v, b.v) AS dist,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rk FROM {rows} a, {rows} b WHERE a.vec_id <> b.vec_id) WHERE rk <= {k})"""
 
 

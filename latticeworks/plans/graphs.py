@@ -45,7 +45,7 @@ def node_degree(spark, sf_dir):
 
 
 def triangle_clustering(spark, sf_dir):
-    return graph.clustering(fx.network(spark, sf_dir)).select("node", "degree", "triangles", r6("clustering").alias("clustering"))
+    return graph.clustering(fx.companions(spark, sf_dir)).select("node", "degree", "triangles", r6("clustering").alias("clustering"))
 
 
 def weighted_clustering(spark, sf_dir):
@@ -223,6 +223,9 @@ _REPLAY = [_E, _N, _M, _D, _BOTH, fx.centres("fx_entity"), fx.members("fx_entity
   FROM fx_entity f LEFT JOIN me USING (vec_id) LEFT JOIN (SELECT vec_id, d FROM members) USING (vec_id) LEFT JOIN med ON f.community = med.community LEFT JOIN bi ON f.community = bi.community)"""]
 _FLAGS = {"outlier": "community < 0", "cluster_birth_point": "event_type = 'community_birth'", "existing_cluster": "event_type = 'existing_community'", "same_community_attachment": "community >= 0 AND n_active_same_community_neighbors > 0", "cross_community_attachment": "community >= 0 AND n_active_other_communities > 0", "bridge_attachment": "community >= 0 AND is_bridge_attachment", "core_attachment": "coalesce(core_periphery = 'core', false)", "periphery_attachment": "coalesce(core_periphery = 'periphery', false)"}
 _DEC = "de AS (SELECT decade, count(*) AS n_total, " + ", ".join(f"sum(({c})::INT)::BIGINT AS n_{n}" for n, c in _FLAGS.items()) + " FROM ev GROUP BY decade)"
+#: Of each k the nodes that still have k neighbours left, round after round.
+_PEELED = """al AS (SELECT 0 AS it, k.k AS k, dg.node AS node FROM dg, ({ks}) k WHERE dg.k >= k.k
+  UNION ALL SELECT x.it + 1, x.k, x.node FROM al x JOIN {edges} e ON e.a = x.node JOIN al y ON y.node = e.b AND y.k = x.k WHERE x.it < 60 GROUP BY x.it, x.k, x.node HAVING count(*) >= x.k)"""
 _FORM = [_E, fx.FORMULA]
 _FN = "fn AS (SELECT vec_id AS node, formula, community FROM fx_formula WHERE formula <> '')"
 _ROLE = "CASE WHEN event_type = 'community_birth' THEN 'birth' WHEN is_bridge_attachment THEN 'bridge' WHEN core_periphery = 'core' THEN 'core' ELSE 'periphery' END"
@@ -234,8 +237,10 @@ SQL = {
     "connected_component_sizes": fx.sql(_E, _N, _M, _D, _BOTH, "re AS (SELECT vec_id AS node, vec_id AS root FROM fx_entity UNION SELECT bo.b, re.root FROM re JOIN bo ON re.node = bo.a)", "co AS (SELECT node, min(root) AS component FROM re GROUP BY node)", "sz AS (SELECT component, count(*) AS n FROM co GROUP BY component)",
         select="SELECT CASE WHEN n >= 4 THEN component ELSE -1 END AS component, sum(n)::BIGINT AS n FROM sz GROUP BY 1"),
     "node_degree": fx.sql(fx.NETWORK, _NET, select="SELECT a AS node, count(*) AS degree FROM nb GROUP BY a"),
-    "triangle_clustering": fx.sql(fx.NETWORK, _NET, "dg AS (SELECT a AS node, count(*) AS degree FROM nb GROUP BY a)", "tr AS (SELECT x.src AS p, x.dst AS q, y.dst AS r FROM fx_network x JOIN fx_network y ON x.dst = y.src JOIN fx_network z ON z.src = x.src AND z.dst = y.dst)", "tn AS (SELECT node, count(*) AS t FROM (SELECT p AS node FROM tr UNION ALL SELECT q FROM tr UNION ALL SELECT r FROM tr) GROUP BY node)",
+    "triangle_clustering": fx.sql(fx.COMPANIONS, "fx_network AS (SELECT * FROM fx_companions)", _NET, "dg AS (SELECT a AS node, count(*) AS degree FROM nb GROUP BY a)", "tr AS (SELECT x.src AS p, x.dst AS q, y.dst AS r FROM fx_network x JOIN fx_network y ON x.dst = y.src JOIN fx_network z ON z.src = x.src AND z.dst = y.dst)", "tn AS (SELECT node, count(*) AS t FROM (SELECT p AS node FROM tr UNION ALL SELECT q FROM tr UNION ALL SELECT r FROM tr) GROUP BY node)",
         select="SELECT node, degree, coalesce(t, 0)::BIGINT AS triangles, round(CASE WHEN degree > 1 THEN coalesce(t, 0) / (degree * (degree - 1) / 2) ELSE 0 END, 6) AS clustering FROM dg LEFT JOIN tn USING (node)"),
+    "k_core": fx.sql(fx.NETWORK, _NET, "dg AS (SELECT a AS node, count(*) AS k FROM nb GROUP BY a)", _PEELED.format(ks="SELECT unnest(range(1, (SELECT max(k) + 1 FROM dg))) AS k", edges="nb"), select="SELECT node, max(k)::INTEGER AS core FROM al WHERE it = 60 GROUP BY node"),
+    "k_core_of_neighbours": fx.sql(_E, _N, _M, _D, _BOTH, "dg AS (SELECT a AS node, count(*) AS k FROM bo GROUP BY a)", _PEELED.format(ks="SELECT 4 AS k", edges="bo"), select="SELECT node FROM al WHERE it = 60"),
     "weighted_clustering": fx.sql(_E, _N, _M, _D, "ww AS (SELECT src, dst, weight / (SELECT max(weight) FROM ed) AS w FROM ed)", "dg AS (SELECT node, count(*) AS k FROM (SELECT src AS node FROM ed UNION ALL SELECT dst FROM ed) GROUP BY node)", "tr AS (SELECT x.src AS p, x.dst AS q, y.dst AS r, cbrt(x.w * y.w * z.w) AS g FROM ww x JOIN ww y ON x.dst = y.src JOIN ww z ON z.src = x.src AND z.dst = y.dst)", "tn AS (SELECT node, sum(g) AS g FROM (SELECT p AS node, g FROM tr UNION ALL SELECT q, g FROM tr UNION ALL SELECT r, g FROM tr) GROUP BY node)",
         select="SELECT node, round(CASE WHEN k > 1 THEN 2 * coalesce(g, 0) / (k * (k - 1)) ELSE 0 END, 6) AS clustering FROM dg LEFT JOIN tn USING (node)"),
     "temporal_replay_events": fx.sql(*_REPLAY, select="SELECT * REPLACE (round(distance_to_centroid, 6) AS distance_to_centroid, round(core_threshold, 6) AS core_threshold) FROM ev"),

@@ -238,7 +238,7 @@ def kth_largest(spark, sf_dir):
 
 
 def forward_fill(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "orders").where("o_orderkey < 1000000000").select("o_orderkey", (F.col("o_custkey") % 20).alias("g"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderpriority")).alias("p"))
+    rows = fx.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("g"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderpriority")).alias("p"))
     return tables.forward_fill(rows, "o_orderkey", ["p"], ["g"])
 
 

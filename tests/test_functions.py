@@ -144,6 +144,17 @@ def test_nearest_centroid_ties_and_slices(spark, monkeypatch):
     assert frame.nearest_centroid(r, c.where("false")).count() == 0
 
 
+def test_nearest_centroid_keeps_equal_records(spark, monkeypatch):
+    c = spark.createDataFrame([(k, [float(k), float(k % 3)]) for k in range(9)], "community bigint, c array<double>")
+    rows = [(1, [0.2, 0.0], {"a": 1})] * 3 + [(2, [7.9, 1.0], {}), (None, [4.4, 1.0], None)]
+    r = spark.createDataFrame(rows, "id bigint, v array<double>, extras map<string,int>")
+    key = lambda df: sorted((str(x["id"]), x["assigned_community"], x["distance"], str(x["extras"])) for x in df.collect())
+    whole = key(frame.nearest_centroid(r, c))
+    assert len(whole) == 5
+    monkeypatch.setattr(frame, "MATRIX_BYTES", 48)
+    assert key(frame.nearest_centroid(r, c)) == whole
+
+
 def test_strict_races(spark):
     rows = spark.createDataFrame([("f", 1990, 1, 2.0), ("f", 1999, 2, 4.0), ("f", 1999, 1, 9.0), ("g", 1990, 1, 1.0), ("g", 1991, 2, 1.0)], "f string, y int, c int, x double")
     got = scoring.strict_races(rows, "f", "y", "c", "x").collect()

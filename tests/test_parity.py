@@ -10,7 +10,7 @@ from .parity import compare, connect
 #: Of each kind some; LATTICEWORKS_ALL=1 runs every query that has SQL.
 SOME = """heldout_basin_rate_wilson projection_summary unknown_community_frontier threshold_sweep standard_scaled mutual_knn_edges connected_component_sizes triangle_clustering temporal_replay_events
 temporal_replay_decades community_growth bridge_rates stepping_stones first_reports spearman_first_report strict_polymorph ks_two_sample matched_strata_rates last_wins_lookup accessibility_scores accessibility_grid
-step_change_survey functional_rollup degree_quartiles forward_fill permutation_band_fixed formula_parse composition_class anonymized_formula family_enrichment auto_labels tolerant_parsing stream_window_rate stream_births""".split()
+k_core k_core_of_neighbours read_communities_coerced read_entry_index read_documents read_document_drops read_shards read_zip_members read_sheet written_records step_change_survey functional_rollup degree_quartiles forward_fill permutation_band_fixed formula_parse composition_class anonymized_formula family_enrichment auto_labels tolerant_parsing stream_window_rate stream_births""".split()
 
 
 @pytest.fixture(scope="module")
