@@ -40,6 +40,47 @@ def pearson(x: str, y: str) -> Column:
     return F.when((F.count(F.col(x) + F.col(y)) > 1) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
+#: Rows up to which an aggregation may hold all values of a group in its buffer.
+BUFFER_ROWS = 4_000_000
+
+
+def percentiles(df: DataFrame, value: str, ps: list[float], by: list[str] = (), out: str = "q") -> DataFrame:
+    """``by..., out``: the exact percentiles ``ps`` of ``value``, an array in their order, linear between neighbours; nulls do not
+    count. Rows are counted first: few go through one aggregation, of more the distinct values are sorted in range partitions and
+    positions are found by offsets, so that a group of any size spreads over partitions."""
+    if df.count() <= BUFFER_ROWS:
+        return df.groupBy(*by).agg(F.percentile(value, ps).alias(out))
+    return _sorted_percentiles(df, value, ps, list(by), out)
+
+
+def _sorted_percentiles(df: DataFrame, value: str, ps: list[float], by: list[str], out: str) -> DataFrame:
+    from ..session import stage
+
+    names = [f"_k{i}" for i in range(len(by))] or ["_k0"]
+    keys = [F.col(b).alias(n) for b, n in zip(by, names, strict=True)] if by else [F.lit(0).alias("_k0")]
+    rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    counts = rows.groupBy(*names, "_x").agg(F.count("*").alias("_n"))
+    ranged = stage(counts.repartitionByRange(*names, "_x").withColumn("_part", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy(*names, "_part").agg(F.sum("_n").alias("_s"))
+    along = Window.partitionBy(*names).orderBy("_part")
+    parts = parts.withColumn("_before", F.sum("_s").over(along) - F.col("_s")).withColumn("_total", F.sum("_s").over(Window.partitionBy(*names)))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*names, "_part").orderBy("_x"))
+    same = [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in [*names, "_part"]]
+    condition = same[0]
+    for c in same[1:]:
+        condition &= c
+    placed = ranged.alias("a").join(parts.alias("b"), condition).select(*[F.col(f"a.{n}").alias(n) for n in [*names, "_part"]], "_x", "_n", "_before", "_total").withColumn("_upto", upto)
+    found = []
+    for i, p in enumerate(ps):
+        at = (F.col("_total") - 1) * F.lit(float(p)) + 1
+        for name, pos in ((f"_l{i}", F.floor(at)), (f"_h{i}", F.least(F.floor(at) + 1, F.col("_total")))):
+            found.append(F.max(F.when((F.col("_upto") - F.col("_n") < pos) & (pos <= F.col("_upto")), F.col("_x"))).alias(name))
+    got = placed.groupBy(*names).agg(F.max("_total").alias("_total"), *found)
+    rest = lambda p: (F.col("_total") - 1) * F.lit(float(p)) + 1 - F.floor((F.col("_total") - 1) * F.lit(float(p)) + 1)
+    values = [F.col(f"_l{i}") + rest(p) * (F.col(f"_h{i}") - F.col(f"_l{i}")) for i, p in enumerate(ps)]
+    return got.select(*[F.col(n).alias(b) for b, n in zip(by, names, strict=False)], F.array(*values).alias(out))
+
+
 def average_rank(df: DataFrame, x: str, out: str, by: list[str] = ()) -> DataFrame:
     """Adds the rank of x, ties sharing the mean of their ranks.
 

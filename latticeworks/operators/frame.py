@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import percentiles
 from ..functions.vectors import distance, mean_vector
 from ..session import stage
 
@@ -40,8 +41,8 @@ def thresholds(members: DataFrame, percentile: float = 95.0, mode: str = "per_co
     if mode not in ("per_community", "pooled"):
         raise ValueError("mode is per_community or pooled")
     if mode == "per_community":
-        return members.groupBy(community).agg(F.percentile("d", percentile / 100).alias("threshold"))
-    pooled = members.agg(F.percentile("d", percentile / 100).alias("threshold"))
+        return percentiles(members, "d", [percentile / 100], [community]).select(community, F.col("q")[0].alias("threshold"))
+    pooled = percentiles(members, "d", [percentile / 100]).select(F.col("q")[0].alias("threshold"))
     return members.select(community).distinct().crossJoin(F.broadcast(pooled))  # one row
 
 
@@ -164,7 +165,12 @@ def frame_at(df: DataFrame, cutoff: int | None = None, percentile: float = 95.0,
     rows = known(df if cutoff is None else split(df, cutoff, year)[0])
     centres = centroids(rows, v, width=width)
     members = member_distances(rows, centres, v)
-    out = centres.join(thresholds(members, percentile, mode), "community").join(members.groupBy("community").agg(F.median("d").alias("median")), "community")
+    if mode == "per_community":
+        both = percentiles(members, "d", [percentile / 100, 0.5], ["community"])
+        out = centres.join(both.select("community", F.col("q")[0].alias("threshold"), F.col("q")[1].alias("median")), "community")
+    else:
+        median = percentiles(members, "d", [0.5], ["community"]).select("community", F.col("q")[0].alias("median"))
+        out = centres.join(thresholds(members, percentile, mode), "community").join(median, "community")
     return out.join(rows.groupBy("community").agg(F.min(year).alias("birth_year")), "community")
 
 

@@ -10,39 +10,69 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import percentiles
 from ..functions.vectors import gaussian
 from ..session import stage
-from .frame import slices
 
 COMPONENT_EDGES = 5_000_000
 
 
-def _knn(ids, matrix, k: int, key: int, vec: int):
-    def run(batches: Iterator) -> Iterator:
+#: Rows in a block of the exact neighbour search.
+BLOCK_ROWS = 8192
+
+
+def _knn(k: int):
+    """The k nearest of a block's rows, which come first, among all rows as they stream by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import pyarrow as pa
 
-        squares = (matrix * matrix).sum(1)
-        few = min(k + 4, len(ids))
+        own, x, name, d, other = [], None, None, None, None
+
+        def take(y, ids):
+            nonlocal d, other
+            squares, few = (y * y).sum(1), min(k + 4, len(ids))
+            step = max(1, 2_000_000 // len(ids))
+            for s in range(0, len(x), step):
+                part = x[s : s + step]
+                rough = squares - 2 * (part @ y.T)
+                rough[ids[None, :] == name[s : s + step, None]] = np.inf
+                near = np.argpartition(rough, few - 1, axis=1)[:, :few]
+                exact = np.sqrt(((part[:, None, :] - y[near]) ** 2).sum(2))
+                exact[ids[near] == name[s : s + step, None]] = np.inf
+                both_d, both_i = np.concatenate([d[s : s + step], exact], 1), np.concatenate([other[s : s + step], ids[near]], 1)
+                order = np.lexsort((both_i, both_d), axis=1)[:, :k]
+                d[s : s + step], other[s : s + step] = np.take_along_axis(both_d, order, 1), np.take_along_axis(both_i, order, 1)
+
+        def begin():
+            nonlocal x, name, d, other
+            x, name = np.concatenate([y for y, _ in own]), np.concatenate([i for _, i in own])
+            d, other = np.full((len(x), k), np.inf), np.full((len(x), k), np.iinfo(name.dtype).max if name.dtype.kind == "i" else name[0], name.dtype)
+            take(x, name)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = batch.column(key).to_numpy(zero_copy_only=False)
-            x = batch.column(vec).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            for s in range(0, len(x), 256):
-                part, name = x[s : s + 256], own[s : s + 256]
-                d = squares - 2 * (part @ matrix.T)
-                d[ids[None, :] == name[:, None]] = np.inf
-                near = np.argpartition(d, few - 1, axis=1)[:, :few]
-                exact = np.sqrt(((part[:, None, :] - matrix[near]) ** 2).sum(2))
-                exact[ids[near] == name[:, None]] = np.inf
-                order = np.lexsort((ids[near], exact), axis=1)[:, :k]
-                exact, other = np.take_along_axis(exact, order, 1), np.take_along_axis(ids[near], order, 1)
-                row, col = np.nonzero(np.isfinite(exact))
-                yield pa.RecordBatch.from_arrays([pa.array(name[row]), pa.array(other[row, col]), pa.array(exact[row, col])], names=["src", "dst", "dist"])
+            late = batch.column("late").to_numpy(zero_copy_only=False)
+            y = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+            ids = batch.column("key").to_numpy(zero_copy_only=False)
+            if not late.all():
+                if x is not None:
+                    raise RuntimeError("the rows of a block must come first")
+                own.append((y[~late], ids[~late]))
+            if late.any():
+                if x is None:
+                    begin()
+                take(y[late], ids[late])
+        if x is None and own:
+            begin()
+        if x is not None:
+            row, col = np.nonzero(np.isfinite(d))
+            yield pa.RecordBatch.from_arrays([pa.array(name[row]), pa.array(other[row, col]), pa.array(d[row, col])], names=["src", "dst", "dist"])
 
     return run
 
@@ -50,22 +80,18 @@ def _knn(ids, matrix, k: int, key: int, vec: int):
 def knn(df: DataFrame, k: int, key: str, v: str) -> DataFrame:
     """``src, dst, dist, rk``: the k nearest other rows of each row, exactly, ties by the smaller key.
 
-    All rows are compared with the rows of one slice at a time that fits a task as a matrix (``frame.MATRIX_BYTES``); only the
-    k best of each slice are kept. A row is never its own neighbour, equal vectors are. Nulls must be left out before.
+    Rows are cut into blocks by a hash of the key; a task holds one block and lets all rows stream by, so nothing passes through
+    the driver and memory is that of a block. The work is quadratic by nature. A row is never its own neighbour, equal vectors
+    are. Nulls must be left out before.
     """
-    import numpy as np
-
-    rows, found, several = df.select(key, v), None, False
-    kind = dict(df.dtypes)[key]
-    for part in slices(rows, v):
-        got = part.orderBy(key).toArrow()
-        matrix = np.asarray(got.column(1).combine_chunks().flatten(), dtype=np.float64).reshape(got.num_rows, -1)
-        one = rows.mapInArrow(_knn(got.column(0).to_numpy(), matrix, k, 0, 1), f"src {kind}, dst {kind}, dist double")
-        several = found is not None
-        found = found.unionByName(one) if several else one
-    if found is None:
-        return rows.where("false").select(F.col(key).alias("src"), F.col(key).alias("dst"), F.lit(0.0).alias("dist"), F.lit(0).alias("rk"))
-    return found.withColumn("rk", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rk") <= k)
+    rows = df.select(F.col(key).alias("key"), F.col(v).alias("v"))
+    kind, n = dict(df.dtypes)[key], rows.count()
+    blocks = max(-(-n // BLOCK_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, -(-n // 256)), 1)
+    block = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(blocks)).cast("int")
+    sent = rows.withColumn("block", block).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.select("to", (F.col("to") != F.col("block")).alias("late"), "key", "v").repartition("to").sortWithinPartitions("to", "late")
+    found = sent.groupBy("to").applyInArrow(_knn(k), f"src {kind}, dst {kind}, dist double")
+    return found.withColumn("rk", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst")))
 
 
 def mutual(directed: DataFrame) -> DataFrame:
@@ -77,7 +103,7 @@ def mutual(directed: DataFrame) -> DataFrame:
 def gaussian_edges(directed: DataFrame) -> DataFrame:
     """``src, dst, weight``: undirected edges weighted exp(-(d / sigma)^2), sigma the median positive distance (1 without any,
     1e-8 at the least); of two directions the heavier."""
-    sigma = directed.agg(F.greatest(F.coalesce(F.median(F.when(F.col("dist") > 0, F.col("dist"))), F.lit(1.0)), F.lit(1e-8)).alias("sigma"))
+    sigma = percentiles(directed.where("dist > 0").select("dist"), "dist", [0.5]).agg(F.greatest(F.coalesce(F.max(F.col("q")[0]), F.lit(1.0)), F.lit(1e-8)).alias("sigma"))
     weighted = directed.crossJoin(F.broadcast(sigma)).withColumn("w", gaussian(F.col("dist"), F.col("sigma")))  # one row
     return weighted.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("w").alias("weight"))
 
@@ -88,26 +114,25 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), *more).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), *more))
 
 
-def components(nodes: DataFrame, edges: DataFrame, key: str = "node", most_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, key: str = "node") -> DataFrame:
     """``node, component``: the smallest node that edges lead to. Labels travel along edges and then to their own label's
     label, so rounds grow with the logarithm of the longest chain; each is written before the next."""
     both = stage(both_ways(edges.select("src", "dst")).distinct(), "edges")
     labels = stage(nodes.select(F.col(key).alias("node"), F.col(key).alias("component")).distinct(), "labels")
-    for _ in range(most_rounds):
+    while True:
         around = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
         step = labels.join(around, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("low", "component")).alias("new"))
         further = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
         after = stage(step.join(further, "new", "left").select("node", "old", F.least("new", F.coalesce("far", "new")).alias("component")), "labels")
         labels = after.select("node", "component")
         if not after.where("component < old").limit(1).count():
-            break
-    return labels
+            return labels
 
 
 def drop_small(labels: DataFrame, least: int, column: str = "component") -> DataFrame:
-    """Marks members of parts with fewer than ``least`` nodes as noise, -1."""
-    size = F.count("*").over(Window.partitionBy(column))
-    return labels.withColumn(column, F.when(size >= least, F.col(column)).otherwise(F.lit(-1).cast("bigint")))
+    """Marks members of parts with fewer than ``least`` nodes as noise, -1. Sizes are counted before anything is exchanged."""
+    small = labels.groupBy(column).agg(F.count("*").alias("_n")).where(F.col("_n") < least).select(column, F.lit(True).alias("_small"))
+    return labels.join(small, column, "left").withColumn(column, F.when(F.col("_small"), F.lit(-1).cast("bigint")).otherwise(F.col(column))).select(*labels.columns)
 
 
 def degree(edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import decade
+from ..functions.stats import percentiles
 from .frame import centroids, member_distances
 from .graph import both_ways
 
@@ -35,7 +36,7 @@ def replay(df: DataFrame, edges: DataFrame, key: str, v: str = "v", width: int |
     other = F.when((F.col("m.community") >= 0) & (F.col("m.community") != F.col("n.community")), F.col("m.community"))
     met = active.groupBy(F.col("n.key").alias("key")).agg(F.count("*").alias("na"), F.sum(same.cast("int")).alias("ns"), F.count_distinct(other).alias("no"))
     members = member_distances(rows, centroids(rows, v, width=width), v).select("key", "community", "d")
-    medians = members.groupBy("community").agg(F.median("d").alias("core_threshold"))
+    medians = percentiles(members, "d", [0.5], ["community"]).select("community", F.col("q")[0].alias("core_threshold"))
     births = rows.where((F.col("community") >= 0) & F.col("year").isNotNull()).groupBy("community").agg(F.min("year").alias("birth"))
     out = short.join(met, "key", "left").join(members.select("key", "d"), "key", "left").join(medians, "community", "left").join(births, "community", "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")

@@ -49,7 +49,7 @@ def strict_races(df: DataFrame, key: str, year: str, community: str, x: str, gap
 def decile_contrast(df: DataFrame, x: str, flag: str) -> DataFrame:
     """One row ``lo, hi, bottom_rate, top_rate, ratio``: the share of the flag at or below the tenth percentile and at or above
     the ninetieth, and their ratio over at least 1e-9."""
-    cuts = df.agg(F.percentile(x, [0.1, 0.9]).alias("_q"))
+    cuts = stats.percentiles(df, x, [0.1, 0.9], out="_q")
     rows = df.crossJoin(F.broadcast(cuts)).select(F.col(x).alias("x"), F.col(flag).cast("double").alias("f"), F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))  # one row
     out = rows.groupBy("lo", "hi").agg(F.avg(F.when(F.col("x") <= F.col("lo"), F.col("f"))).alias("bottom_rate"), F.avg(F.when(F.col("x") >= F.col("hi"), F.col("f"))).alias("top_rate"))
     return out.withColumn("ratio", F.col("bottom_rate") / F.greatest("top_rate", F.lit(1e-9)))
@@ -58,7 +58,7 @@ def decile_contrast(df: DataFrame, x: str, flag: str) -> DataFrame:
 def threshold_sweep(members: DataFrame, projected: DataFrame, percents: list[float]) -> DataFrame:
     """``pct, n, k, rate``: how many projected records lie in their basin as its percentile varies. All percentiles of a
     community come from one pass."""
-    cuts = members.groupBy("community").agg(F.percentile("d", [p / 100 for p in percents]).alias("_q"))
+    cuts = stats.percentiles(members, "d", [p / 100 for p in percents], ["community"], "_q")
     at = projected.join(cuts, "community").select("distance", F.posexplode("_q").alias("_k", "_t"))
     pct = F.element_at(F.array(*[F.lit(float(p)) for p in percents]), F.col("_k") + 1)
     return at.groupBy(pct.alias("pct")).agg(F.count("*").alias("n"), F.sum((F.col("distance") <= F.col("_t")).cast("int")).cast("bigint").alias("k")).withColumn("rate", F.col("k") / F.col("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import percentiles
+
 # --- joins ---------------------------------------------------------------------------------------------------------
 
 
@@ -159,7 +161,7 @@ def two_levels(df: DataFrame, outer: str, inner: str, flag: Column) -> DataFrame
 
 def trim_window(df: DataFrame, x: str, y: str, q: float = 0.01) -> DataFrame:
     """Rows between the q and 1 - q quantiles of both columns."""
-    bounds = df.agg(F.percentile(x, [q, 1 - q]).alias("_bx"), F.percentile(y, [q, 1 - q]).alias("_by"))
+    bounds = percentiles(df, x, [q, 1 - q], out="_bx").crossJoin(percentiles(df, y, [q, 1 - q], out="_by"))  # one row each
     kept = df.crossJoin(F.broadcast(bounds)).where(F.col(x).between(F.col("_bx")[0], F.col("_bx")[1]) & F.col(y).between(F.col("_by")[0], F.col("_by")[1]))  # one row
     return kept.drop("_bx", "_by")
 

@@ -143,7 +143,7 @@ def accessibility_groups(spark, sf_dir):
     rows = _role_rows(spark, sf_dir)
     raw = rows.withColumn("raw", F.col("stretch") - 0.5 * F.log1p("size") - 0.5 * F.log1p(F.greatest(F.col("age").cast("double"), F.lit(0.0))))
     a = scoring.standardise(raw, raw)
-    cut = a.agg(F.percentile("a_i", 0.9).alias("p90"))
+    cut = stats.percentiles(a, "a_i", [0.9]).select(F.col("q")[0].alias("p90"))
     out = a.crossJoin(F.broadcast(cut)).groupBy("role").agg(F.count("*").alias("n"), F.avg("a_i").alias("mean_a"), F.avg((F.col("a_i") > F.col("p90")).cast("double")).alias("above_p90"))
     return out.select("role", "n", r6("mean_a").alias("mean_a"), r6("above_p90").alias("above_p90"))
 

@@ -174,3 +174,12 @@ def test_weight_grid_equals_direct_scores(spark):
     m = sum(raw) / 4
     sd = (sum((x - m) ** 2 for x in raw) / 4) ** 0.5
     assert got[(1.0, 1.0, "a")] == pytest.approx(((raw[0] + raw[2]) / 2 - m) / sd)
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_percentiles_of_many_rows_equal_those_of_few(spark, monkeypatch, by):
+    df = spark.range(3000).select(F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 3 == 0, 1.5).otherwise(F.rand(3)).alias("x"))
+    key = lambda d: sorted((str(r["g"]) if by else "", *(round(v, 9) for v in r["q"])) for r in d.collect())
+    few = key(stats.percentiles(df, "x", [0.0, 0.1, 0.5, 0.95, 1.0], by))
+    monkeypatch.setattr(stats, "BUFFER_ROWS", 0)
+    assert key(stats.percentiles(df, "x", [0.0, 0.1, 0.5, 0.95, 1.0], by)) == few

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,15 @@ def test_embedding_of_sites(spark):
     assert got[2]["error"] == "no sites"
     assert got[3]["v"] == [1.0, 1.0, 0.0, 1.0]
     assert embedding.failures(embedding.embed(df, "id", "sites", "edges", "extra")).count() == 1
+
+
+def test_neighbours_over_blocks_equal_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5))
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 40)
+    got = graph.knn(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>"), 4, "id", "v").collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = {(i, rk, int(j)) for i in range(300) for rk, j in enumerate(np.argsort(d[i])[:4], 1)}
+    assert {(r["src"], r["rk"], r["dst"]) for r in got} == want
+    assert graph.knn(spark.createDataFrame([], "id bigint, v array<double>"), 4, "id", "v").count() == 0
