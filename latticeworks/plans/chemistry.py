@@ -68,6 +68,10 @@ def canonical_formulas(spark, sf_dir):
     return _formulas(spark, sf_dir).select("formula").distinct().select("formula", fm.formula_canonical(F.col("formula")).alias("canonical"))
 
 
+def reduced_formulas(spark, sf_dir):
+    return _formulas(spark, sf_dir).select("formula").distinct().select("formula", fm.formula_reduced(F.col("formula")).alias("reduced"))
+
+
 def family_tags(spark, sf_dir):
     return _named(spark, sf_dir).select("vec_id", F.explode(text.family_tags(F.col("name"))).alias("family"))
 
@@ -176,6 +180,7 @@ SQL = {
     "element_predicate": fx.sql(_E, _F, _ELEMS, select="SELECT vec_id FROM fx_formula JOIN el USING (formula) WHERE list_contains(els, 'O') AND list_has_any(els, ['Mg', 'Ti', 'Co']) AND len(els) <= 4"),
     "dominant_anions": fx.sql(_E, _F, _LAX, _DOM, "ct AS (SELECT community, anion, count(*) AS n FROM fx_formula JOIN da USING (formula) WHERE community >= 0 GROUP BY ALL)", select="SELECT community, anion, n FROM ct QUALIFY row_number() OVER (PARTITION BY community ORDER BY n DESC, anion) = 1"),
     "canonical_formulas": fx.sql(_E, _F, _PARTS, _SUM, _GCD, "cf AS (SELECT formula, string_agg(e || CASE WHEN CAST(round_even(n * 100, 0) AS BIGINT) = g THEN '' ELSE CAST(CAST(round_even(n * 100, 0) AS BIGINT) // g AS VARCHAR) END, '' ORDER BY e) AS canonical FROM sm JOIN gc USING (formula) GROUP BY formula)", select="SELECT f.formula, canonical FROM (SELECT DISTINCT formula FROM fx_formula) f LEFT JOIN cf USING (formula)"),
+    "reduced_formulas": fx.sql(_E, _F, _PARTS, _SUM, _GCD, "ex AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', {x})" for e, x in fm.ELECTRONEGATIVITY.items()) + ") AS v(e, x))", "cf AS (SELECT formula, string_agg(e || CASE WHEN CAST(round_even(n * 100, 0) AS BIGINT) = g THEN '' ELSE CAST(CAST(round_even(n * 100, 0) AS BIGINT) // g AS VARCHAR) END, '' ORDER BY coalesce(x, 9), e) AS reduced FROM sm JOIN gc USING (formula) LEFT JOIN ex USING (e) GROUP BY formula)", select="SELECT f.formula, reduced FROM (SELECT DISTINCT formula FROM fx_formula) f LEFT JOIN cf USING (formula)"),
     "family_tags": fx.sql(_E, _N, f"tg AS ({_TAGS})", select="SELECT vec_id, family FROM tg"),
     "family_enrichment": fx.sql(_E, _N, f"tg AS ({_TAGS})", "tt AS (SELECT * FROM tg WHERE community >= 0)", "sz AS (SELECT community, count(*) AS size FROM fx_name WHERE community >= 0 GROUP BY community)", "ht AS (SELECT community, family, count(*) AS hits FROM tt GROUP BY ALL)", "tl AS (SELECT family, count(*) AS total FROM tt GROUP BY family)",
         select="SELECT community, family, hits, size, total, round((hits / size) / (total / (SELECT sum(size) FROM sz)::DOUBLE), 6) AS fold FROM ht JOIN sz USING (community) JOIN tl USING (family)"),
@@ -197,6 +202,6 @@ SQL = {
 }
 
 QUERIES = {f.__name__: f for f in (
-    formula_parse, formula_refused, composition_class, anonymized_formula, anonymized_ascending, formula_elements, element_predicate, dominant_anions, canonical_formulas, family_tags, family_enrichment, element_enrichment,
+    formula_parse, formula_refused, composition_class, anonymized_formula, anonymized_ascending, formula_elements, element_predicate, dominant_anions, canonical_formulas, reduced_formulas, family_tags, family_enrichment, element_enrichment,
     clean_labels, tag_precedence, label_precedence, auto_labels, tolerant_parsing, tolerant_bools, decade_buckets, path_parts, marker_sizes, drop_reasons,
 )}

@@ -6,27 +6,21 @@ import base64
 import json
 import lzma
 import os
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frame, tables
-from ..session import shared_dir
+from ..session import place
 from ..sources import datasources, readers, sinks
 from . import fixtures as fx
 from .fixtures import r6
 
 
-def _at(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _local(spark: SparkSession, name: str) -> str:
     """The same for formats that the driver writes; the shared folder must be mounted."""
-    path = _at(spark, name)
+    path = place(spark, name)
     if not path.startswith(("file:", "/")):
         raise ValueError("the shared folder is not mounted")
     path = "/" + path.removeprefix("file:").lstrip("/")
@@ -35,7 +29,7 @@ def _local(spark: SparkSession, name: str) -> str:
 
 
 def _csv(df: DataFrame, name: str) -> str:
-    path = _at(df.sparkSession, name)
+    path = place(df.sparkSession, name)
     df.write.option("header", True).csv(path)
     return path
 
@@ -90,7 +84,7 @@ def _documents(spark, sf_dir):
     atoms = F.from_json("atoms", "struct<lattice_mat: array<array<double>>, elements: array<string>>")
     rows = j.select(F.col("material_id").alias("jid"), F.col("icsd_field").alias("icsd"), F.col("ehull").cast("string").alias("ehull"), F.col("formation_energy").alias("formation_energy_peratom"), "reference", atoms.alias("atoms"))
     lists = rows.groupBy(F.pmod(F.xxhash64("jid"), F.lit(8)).alias("s")).agg(F.collect_list(F.struct(*rows.columns)).alias("l")).select(F.to_json("l").alias("value"))
-    path = _at(spark, "documents")
+    path = place(spark, "documents")
     lists.repartition(8, "value").write.option("maxRecordsPerFile", 1).text(path)
     return readers.jarvis_documents(spark, path, most_sites=40)
 
@@ -111,7 +105,7 @@ def read_shards(spark, sf_dir):
     sites = F.transform(F.sequence(F.lit(1), (F.col("spg") % 5 + 1).cast("int")), lambda k: F.struct(F.lit("A").alias("label")))
     entry = F.struct(data.alias("data"), F.struct(sites.alias("sites")).alias("structure"))
     shards = a.where("spg is not null").groupBy(F.pmod(F.xxhash64("material_id"), F.lit(8)).alias("s")).agg(F.collect_list(entry).alias("entries")).select(F.to_json(F.struct("entries"), {"ignoreNullFields": "false"}).alias("value"))
-    path = _at(spark, "shards")
+    path = place(spark, "shards")
     shards.write.option("compression", "bzip2").option("maxRecordsPerFile", 1).text(path)
     known = a.where("spg < 40 and reduced_formula is not null").select(F.col("reduced_formula").alias("formula"), "spg").distinct()
     got = readers.shards(spark, path, (0.0, 0.05), 4, known)
@@ -121,7 +115,7 @@ def read_shards(spark, sf_dir):
 def read_cached_lines(spark, sf_dir):
     """Fetched entries kept as lines; those with provenance are left out."""
     m = fx.table(spark, sf_dir, "supplier").select(F.concat(F.lit("mp-"), F.col("s_suppkey").cast("string")).alias("material_id"), F.col("s_acctbal").alias("energy"), F.when(F.col("s_suppkey") % 4 == 0, F.array(F.col("s_nationkey"))).otherwise(F.array().cast("array<int>")).alias("icsd_ids"))
-    path = _at(spark, "lines")
+    path = place(spark, "lines")
     m.write.json(path)
     return readers.cached_lines(spark, path, "material_id string, energy double, icsd_ids array<int>").select("material_id", "energy")
 
@@ -223,7 +217,7 @@ def read_union_of_files(spark, sf_dir):
 def written_records(spark, sf_dir):
     """A record file in key order, partitioned by a column, read back."""
     s = fx.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    path = _at(spark, "written")
+    path = place(spark, "written")
     sinks.write_records(s, path, ["s_suppkey"], ["s_nationkey"])
     back = spark.read.option("header", True).option("inferSchema", True).csv(path)
     return back.groupBy(F.col("s_nationkey").cast("bigint").alias("nation")).agg(F.count("*").alias("n"), r6(F.sum("s_acctbal")).alias("balance"))
@@ -231,7 +225,7 @@ def written_records(spark, sf_dir):
 
 def written_nothing(spark, sf_dir):
     """An empty result keeps its columns."""
-    path = _at(spark, "nothing")
+    path = place(spark, "nothing")
     sinks.write_records(fx.table(spark, sf_dir, "supplier").where("false"), path, fmt="parquet")
     back = spark.read.parquet(path)
     return back.agg(F.count("*").alias("n")).withColumn("width", F.lit(len(back.columns)).cast("bigint"))

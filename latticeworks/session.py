@@ -49,6 +49,13 @@ _scopes: list[list[tuple[SparkSession, str]]] = [[]]
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted at the end of the innermost ``staging`` scope, or of the process."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scopes[-1].append((spark, path))
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage ends there, and a lost executor costs one stage.
 
@@ -56,8 +63,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     the process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-    _scopes[-1].append((spark, path))
+    path = place(spark, name)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.vectors import distance
+from ..session import place
 
 
 def project(stream: DataFrame, frame: DataFrame, v: str = "v") -> DataFrame:
@@ -36,38 +36,11 @@ def windowed_rate(stream: DataFrame, time: str, flag: Column, size: str, slide:
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n", "k", (F.col("k") / F.col("n")).alias("rate"))
 
 
-class Births(StatefulProcessor):
-    """Keeps the earliest event of a key and reports it whenever it gets earlier."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "ts timestamp, id bigint")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        import pandas as pd
-
-        best = tuple(self.seen.get()) if self.seen.exists() else None
-        held = best
-        for pdf in rows:
-            for ts, i in zip(pdf["ts"], pdf["id"], strict=True):
-                at = (ts.to_pydatetime() if hasattr(ts, "to_pydatetime") else ts, int(i))
-                best = at if best is None or at < best else best
-        if best != held:
-            self.seen.update(best)
-            yield pd.DataFrame({"key": [key[0]], "ts": [best[0]], "id": [best[1]]})
-
-    def close(self) -> None:
-        pass
-
-
 def births(stream: DataFrame, key: str, time: str, ident: str) -> DataFrame:
-    """T-03: ``key, ts, id``: the first event of each key, by time, then id. In a stream a key is reported again if an earlier
-    event comes late; the last report holds."""
+    """T-03: ``key, ts, id``: the first event of each key, by time, then id. In a stream, in update mode, a key is reported again
+    if an earlier event comes late; the last report holds. The state is one event a key."""
     rows = stream.select(F.col(key).cast("bigint").alias("key"), F.col(time).alias("ts"), F.col(ident).cast("bigint").alias("id"))
-    if not stream.isStreaming:
-        return rows.groupBy("key").agg(F.min(F.struct("ts", "id")).alias("s")).select("key", "s.ts", "s.id")
-    # the operator keeps its state in column families, which only this store has
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy("key").transformWithStateInPandas(Births(), "key bigint, ts timestamp, id bigint", "Update", "None")
+    return rows.groupBy("key").agg(F.min(F.struct("ts", "id")).alias("s")).select("key", "s.ts", "s.id")
 
 
 def first_seen(stream: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
@@ -82,12 +55,20 @@ def bursts(stream: DataFrame, key: str, time: str, gap: str, late: str = "1 hour
 
 
 def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is available, with its checkpoint in the shared folder, and gives the result as a table."""
-    import uuid
+    """Runs a stream over what is available and gives the result as a table: all that was appended or updated, or in complete
+    mode what the last batch held. Batches go to the shared folder, each under its number, so one that is repeated takes its own
+    place again; nothing passes through the driver."""
+    spark = df.sparkSession
+    path, state = place(spark, name), place(spark, f"{name}-state")
 
-    from ..session import shared_dir
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex[:12]}"
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{shared_dir(spark)}/{name}").start()
+    query = df.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", state).start()
     query.awaitTermination()
-    return spark.table(name)
+    if query.lastProgress is None:
+        return spark.createDataFrame([], df.schema)
+    out = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes)}, batch bigint").parquet(path)
+    if mode == "complete":
+        out = out.join(F.broadcast(out.agg(F.max("batch").alias("batch"))), "batch")  # one row
+    return out.select(*df.columns)
