@@ -11,6 +11,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.elements import NUMBER
+from ..functions.formula import ELECTRONEGATIVITY
 from ..operators import frame, tables
 from ..session import place
 from ..sources import datasources, readers, sinks
@@ -200,6 +202,15 @@ def read_sheet(spark, sf_dir):
     return tables.forward_fill(got, "row", ["region"]).select("name", "region")
 
 
+def structure_descriptors(spark, sf_dir):
+    """Structures from JSON, described by their elements: mean and largest atomic number, mean electronegativity, volume, sites."""
+    from ..operators import embedding
+
+    rows = fx.table(spark, sf_dir, "jarvis_records").select("material_id", "atoms").distinct()
+    v = embedding.featurize(rows, "material_id", "atoms", "chem_only").where("ok")
+    return v.select("material_id", r6(F.col("v")[0]).alias("mean_number"), F.col("v")[19].cast("bigint").alias("largest_number"), r6(F.col("v")[5]).alias("mean_x"), F.round(F.col("v")[63], 4).alias("volume"), F.col("v")[65].cast("bigint").alias("sites"))
+
+
 def read_data_uri(spark, sf_dir):
     """Uploads as data URIs."""
     rows = [(r["n_nationkey"], "data:text/plain;base64," + base64.b64encode(r["n_name"].encode()).decode()) for r in fx.table(spark, sf_dir, "nation").collect()]
@@ -275,7 +286,7 @@ def array_operations(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     read_communities_coerced, read_communities_skipped, read_communities_strictly, read_entry_index, read_records, read_candidates, read_documents, read_document_drops, read_shards, read_cached_lines, read_attribute_map,
-    read_cif_headers, read_zip_members, read_npy, read_xz_reactions, read_sheet, read_data_uri, read_union_of_files, written_records, written_nothing, written_summary, finite_columns, failures, markdown_table, without_noise,
+    read_cif_headers, read_zip_members, read_npy, read_xz_reactions, read_sheet, structure_descriptors, read_data_uri, read_union_of_files, written_records, written_nothing, written_summary, finite_columns, failures, markdown_table, without_noise,
     train_and_holdout, array_operations,
 )}
 
@@ -300,6 +311,11 @@ SELECT spg::BIGINT AS spg, count(*) AS n, sum(spg % 5 + 1)::BIGINT AS sites FROM
     "read_npy": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_ix, round(list_sum(embedding::DOUBLE[]), 6) + 0 AS total, len(embedding)::BIGINT AS width FROM embeddings",
     "read_xz_reactions": "SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN trim(p_brand) WHEN 1 THEN trim(p_type) ELSE p_brand || '!' END AS formula FROM part",
     "read_sheet": "SELECT n_name AS name, 'region ' || n_regionkey AS region FROM nation",
+    "structure_descriptors": f"""WITH t AS (SELECT DISTINCT material_id, atoms FROM jarvis_records), z AS (SELECT * FROM (VALUES {", ".join(f"('{e}', {n}, {ELECTRONEGATIVITY.get(e, 0.0)})" for e, n in NUMBER.items())}) AS v(e, z, x)),
+e AS (SELECT material_id, atoms, unnest(json_extract_string(atoms, '$.elements[*]')) AS e FROM t),
+s AS (SELECT material_id, atoms, avg(z) AS mz, max(z) AS lz, avg(x::DOUBLE) AS mx, count(*) AS n FROM e JOIN z USING (e) GROUP BY 1, 2),
+m AS (SELECT *, json_extract(atoms, '$.lattice_mat')::DOUBLE[][] AS l FROM s WHERE n <= 256)
+SELECT material_id, round(mz, 6) AS mean_number, lz::BIGINT AS largest_number, round(mx, 6) AS mean_x, n AS sites, round(abs(l[1][1] * (l[2][2] * l[3][3] - l[2][3] * l[3][2]) - l[1][2] * (l[2][1] * l[3][3] - l[2][3] * l[3][1]) + l[1][3] * (l[2][1] * l[3][2] - l[2][2] * l[3][1])), 4) AS volume FROM m""",
     "read_data_uri": "SELECT n_nationkey::BIGINT AS id, n_name AS text FROM nation",
     "read_union_of_files": "SELECT ascii(o_orderstatus)::BIGINT AS status, count(*) AS n FROM orders WHERE o_orderkey % 5 > 0 GROUP BY 1",
     "written_records": "SELECT s_nationkey::BIGINT AS nation, count(*) AS n, round(sum(s_acctbal), 6)::DOUBLE AS balance FROM supplier GROUP BY 1",
