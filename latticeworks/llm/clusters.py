@@ -486,7 +486,7 @@ def _cluster(df: DataFrame, key: str, vector: str, order: str, limits: Limits, a
         return df.sparkSession.createDataFrame([], "id bigint, cluster bigint")
     cells, spread = route(reps, total, limits)
     members = stage(cells.groupBy("cell").applyInArrow(_make_units(limits, limits.widest * spread), _MEMBER), "members")
-    units = members.where(F.col("c").isNotNull()).select("unit", "n", "c", "rms", "radius")
+    units = stage(members.where(F.col("c").isNotNull()).select("unit", "n", "c", "rms", "radius"), "units")
     pairs, lost = link_units(units, limits)
     labels = grouped(units, pairs)
     # centre and radii of each group from its units
