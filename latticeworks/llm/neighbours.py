@@ -38,6 +38,8 @@ class Permutations:
     far: float = 3.0  #: vectors this many times as far from their pivot as the median ...
     far_places: int = 8  #: ... are posted in so many
     far_asked: int = 48  #: ... and ask so many
+    reach: float = 1.15  #: files of pivots up to this many times as far as the nearest are asked as well ...
+    most_asked: int = 64  #: ... up to so many; where the vectors of a cluster have many files, more of them are near
     direct: int = 4096  #: of more pivots only those of groups that may matter are compared
     group: int = 64  #: pivots in a group
     sample: int = 16384  #: vectors on which work is estimated
@@ -69,24 +71,26 @@ class Pivots:
         own = (y * y).sum(1)[:, None]
         return np.concatenate([-2 * y, own, np.ones_like(own)], 1) @ (self.columns if among is None else self.columns[:, among])
 
-    def nearest(self, x, least, margin: float):
+    def nearest(self, x, least, margin: float, reach: float = 0.0, most: int = 0):
         """(row, pivot, distance, rank): of each row of x its nearest pivots in order, at least ``least`` of them, a function of the
-        distances of the first, and all no further than the first plus ``margin``."""
+        distances of the first, all no further than the first plus ``margin``, and ``most`` of those up to ``reach`` times as far."""
         import numpy as np
 
         out = []
         for s in range(0, len(x), 1024):
             y = x[s : s + 1024] - self.middle
             for rows, among in self._looks(y, margin):
-                out.append(self._few(y if rows is None else y[rows], among, least, margin, s + (np.arange(len(y)) if rows is None else rows)))
+                out.append(self._few(y if rows is None else y[rows], among, least, margin, reach, most, s + (np.arange(len(y)) if rows is None else rows)))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
 
-    def _few(self, y, among, least, margin, names):
+    def _few(self, y, among, least, margin, reach, most_near, names):
         import numpy as np
 
         d = self._squared(y, among)
         first = np.maximum(d.min(1), 0)
         k = np.minimum(least(np.sqrt(first)), d.shape[1])
+        if reach:
+            k = np.maximum(k, np.minimum((d <= (reach * reach * first)[:, None]).sum(1), most_near))
         if margin:
             slack = 2e-6 * ((y * y).sum(1) + float(self.squares.max()))
             ring = (np.sqrt(first + slack) + margin) ** 2 + slack
@@ -245,13 +249,13 @@ def _represent(sent, options: Permutations, margin: float):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
 
-        pivots, bucket, local, parts, far = sent.value
+        pivots, bucket, local, parts, far, reach = sent.value
         asked = lambda first: np.where(first > far, options.far_asked, options.asked)
         for batch in batches:
             if not batch.num_rows:
                 continue
             rep = batch.column(0).to_numpy()
-            row, pivot, d, rank = pivots.nearest(matrix(batch.column(2)), asked, margin)
+            row, pivot, d, rank = pivots.nearest(matrix(batch.column(2)), asked, margin, reach, options.most_asked)
             order = np.lexsort((rank, bucket[pivot], row))
             row, pivot, d, rank = row[order], pivot[order], d[order], rank[order]
             first = np.zeros(batch.num_rows, np.float32)
@@ -296,13 +300,14 @@ def nearest_classes(classes: DataFrame, k: int, options: Permutations = Permutat
     pivots = Pivots(drawn(classes, "rep", "v", n_pivots, total, 11), options)
     if not len(pivots.x):
         return spark.createDataFrame([], _FOUND)
-    margin = 2 * within if np.isfinite(within) else 0.0
+    # within a radius the margin says which files matter
+    margin, reach = (2 * within, 0.0) if np.isfinite(within) else (0.0, options.reach)
     # work of each file, estimated on a sample
     some = drawn(classes, "rep", "v", options.sample, total, 13)
     some = some if len(some) else pivots.x + pivots.middle
     first = pivots.nearest(some, lambda f: np.ones(len(f), np.int64), 0.0)[2]
     far = np.float32(options.far * np.median(first[first > 0])) if (first > 0).any() else np.float32(np.inf)
-    row, pivot, d, rank = pivots.nearest(some, lambda f: np.where(f > far, options.far_asked, options.asked), margin)
+    row, pivot, d, rank = pivots.nearest(some, lambda f: np.where(f > far, options.far_asked, options.asked), margin, reach, options.most_asked)
     of_first = np.zeros(len(some), np.float32)
     of_first[row[rank == 0]] = d[rank == 0]
     places = np.where(of_first > far, options.far_places, options.places)
@@ -315,7 +320,7 @@ def nearest_classes(classes: DataFrame, k: int, options: Permutations = Permutat
     for b, rows in enumerate(by):
         bucket[rows], local[rows] = b, np.arange(len(rows))
         parts[b] = max(1, int(np.ceil(work[rows].sum() / options.task_pairs)))
-    sent = spark.sparkContext.broadcast((pivots, bucket, local, parts, far))
+    sent = spark.sparkContext.broadcast((pivots, bucket, local, parts, far, reach))
     messages = classes.select("rep", "copies", "v").mapInArrow(_represent(sent, options, margin), _SENT)
     return messages.groupBy("bucket", "part").applyInArrow(_walk(k, within), _FOUND)
 

@@ -180,6 +180,23 @@ def test_recall_on_clustered_vectors(spark):
     assert (got.distance.to_numpy() <= fifth[got.id.to_numpy()] + 1e-4).mean() >= 0.9
 
 
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_recall_on_a_hot_cluster_and_on_isolated_records(spark, n):
+    rng = np.random.default_rng(9)
+    parts = {"hot": grid(n // 3, 1), "rest": np.concatenate([grid(40, 10 + k, 0.3, rng.normal(size=32) * 20) for k in range(n // 65)]), "isolated": rng.normal(size=(n // 20, 32)).astype(np.float32) * 20}
+    x = np.concatenate(list(parts.values()))
+    kind = np.repeat(list(parts), [len(p) for p in parts.values()])
+    squares = (x.astype(float) ** 2).sum(1)
+    d = squares[:, None] + squares[None] - 2 * x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(d, np.inf)
+    fifth = np.sqrt(np.maximum(np.partition(d, 4, axis=1)[:, 4], 0))
+    # as many files as a large collection has
+    got = neighbours.nearest(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), 5, options=neighbours.Permutations(per_pivot=8, task_pairs=1e6)).toPandas()
+    found = got.distance.to_numpy() <= fifth[got.id.to_numpy()] + 1e-4
+    for k in parts:
+        assert found[kind[got.id.to_numpy()] == k].mean() >= 0.9, k
+
+
 def brute_clusters(x, least=8, apart=1.3):
     """Straight from the definition: every beginning of every row's order of distances is tried."""
     d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(-1))
