@@ -139,15 +139,19 @@ _MEMBER = "id bigint, copies int, v array<float>, unit bigint, n bigint, c array
 _UNIT = "unit bigint, n bigint, c array<float>, rms double, radius double"
 
 
-def view(units: DataFrame, limits: Limits, columns: list[str]) -> DataFrame:
-    """Each unit in the nearest cells of two bisecting trees fitted on bounded samples of the units."""
+def view_trees(units: DataFrame, limits: Limits):
+    """The leaves of two bisecting trees fitted on bounded samples of the units, sent to the tasks."""
     from .cells import bisect
 
-    spark, total, trees = units.sparkSession, units.count(), []
+    total, trees = units.count(), []
     for seed in (17, 29):
         x = drawn(units, "unit", "c", limits.sample, total, seed)
         trees.append(bisect(x, min(max(1, -(-total * limits.views // limits.view_units)), max(1, len(x) // 8))))
-    sent = spark.sparkContext.broadcast(trees)
+    return units.sparkSession.sparkContext.broadcast(trees)
+
+
+def view(units: DataFrame, sent, limits: Limits, columns: list[str]) -> DataFrame:
+    """Each unit in the nearest cells of the two trees."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -184,14 +188,14 @@ def _link(limits: Limits):
     return run
 
 
-def link_units(units: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
+def link_units(units: DataFrame, trees, limits: Limits) -> tuple[DataFrame, DataFrame]:
     """``a, b``: units that belong together; and ``unit, cell``: small units that see no gap in a view.
 
     Each small unit is heard in the view in which its reach, the distance that its links span, is the shortest. Its link to
     another holds if it is no longer than the other's own neighbourhood allows: 1.6 times its reach, or 2.5 times the rms radius
     of a unit of many rows.
     """
-    said = view(units, limits, ["unit", "n", "c", "rms"]).groupBy("cell").applyInArrow(_link(limits), "a bigint, b bigint, d double, reach double, cell int")
+    said = view(units, trees, limits, ["unit", "n", "c", "rms"]).groupBy("cell").applyInArrow(_link(limits), "a bigint, b bigint, d double, reach double, cell int")
     said = stage(said, "links")
     lost, said = said.where("a = b").select(F.col("a").alias("unit"), "cell"), said.where("a <> b")
     best = said.groupBy("a").agg(F.min("reach").alias("best"))
@@ -445,14 +449,14 @@ def _standing(found: DataFrame, near: DataFrame, classes: DataFrame, limits: Lim
     return found.join(undone, "cluster", "left_anti").select("rep", "cluster")
 
 
-def _whole_views(members: DataFrame, units: DataFrame, lost: DataFrame, found: DataFrame, classes: DataFrame, limits: Limits) -> DataFrame:
+def _whole_views(members: DataFrame, units: DataFrame, trees, lost: DataFrame, found: DataFrame, classes: DataFrame, limits: Limits) -> DataFrame:
     """``rep, cluster``: sets that hold whole views.
 
     A set with a unit that sees no gap in a view holds all of the view. Sets hold no smaller ones, so there is none if a row of
     the view is in a set that was ``found``, or if another such unit of it has been ruled out. Views that are left are one
     group if they share a unit.
     """
-    seen = stage(view(units, limits, ["unit", "c"]).select("unit", "cell"), "seen")
+    seen = stage(view(units, trees, limits, ["unit", "c"]).select("unit", "cell"), "seen")
     taken = found.select(F.col("rep").alias("id")).join(members.select("id", "unit"), "id").select("unit").distinct()
     ruled = lost.join(seen.join(taken, "unit").select("cell").distinct(), "cell").select("unit")
     live = lost.select("cell").distinct().join(seen.join(taken.unionByName(ruled).distinct(), "unit").select("cell").distinct(), "cell", "left_anti")
@@ -487,7 +491,8 @@ def _cluster(df: DataFrame, key: str, vector: str, order: str, limits: Limits, a
     cells, spread = route(reps, total, limits)
     members = stage(cells.groupBy("cell").applyInArrow(_make_units(limits, limits.widest * spread), _MEMBER), "members")
     units = stage(members.where(F.col("c").isNotNull()).select("unit", "n", "c", "rms", "radius"), "units")
-    pairs, lost = link_units(units, limits)
+    trees = view_trees(units, limits)
+    pairs, lost = link_units(units, trees, limits)
     labels = grouped(units, pairs)
     # centre and radii of each group from its units
     parts = units.join(labels, "unit")
@@ -499,7 +504,7 @@ def _cluster(df: DataFrame, key: str, vector: str, order: str, limits: Limits, a
         F.sum("n").alias("gn"), F.max(F.col("off") + F.col("radius")).alias("gradius"), F.sqrt(F.sum(F.col("n") * (F.col("off") ** 2 + F.col("rms") ** 2)) / F.sum("n")).alias("grms"), F.first("gc").alias("gc")
     )
     known = stage(parts.join(shape, "grp"), "groups")
-    around = view(known, limits, ["unit", "c", "radius", "grp", "gn", "gc", "gradius", "grms"])
+    around = view(known, trees, limits, ["unit", "c", "radius", "grp", "gn", "gc", "gradius", "grms"])
     around = stage(around.groupBy("cell").applyInArrow(_surroundings(limits), "grp bigint, unit bigint, kind int"), "around")
     within = around.where("kind = 2").select("grp", "unit").distinct()
     if within.limit(1).count():
@@ -523,7 +528,7 @@ def _cluster(df: DataFrame, key: str, vector: str, order: str, limits: Limits, a
     of_rep = _standing(found, _near_rows(near, rows), classes, limits)
     if lost.limit(1).count():
         of_rep = stage(of_rep, "found")
-        of_rep = of_rep.unionByName(_whole_views(members, units, lost, of_rep, classes, limits))
+        of_rep = of_rep.unionByName(_whole_views(members, units, trees, lost, of_rep, classes, limits))
     of_rep = stage(of_rep, "standing")
     copies = several.where("id <> rep").join(of_rep, "rep").select("id", "cluster")
     return stage(of_rep.select(F.col("rep").alias("id"), "cluster").unionByName(copies), "clusters")
