@@ -258,6 +258,9 @@ SQL = {
     "formula_centroid_graph": fx.sql(*_FORM, "ce AS (SELECT formula, list(m ORDER BY k) AS v, max(n) AS n FROM (SELECT formula, k, avg(e) AS m, count(*) AS n FROM (SELECT formula, generate_subscripts(v, 1) AS k, unnest(v) AS e FROM fx_formula WHERE formula <> '') GROUP BY ALL) GROUP BY formula)", f"nm AS (SELECT list_position({fx._values(fx.FORMULAS)}, formula)::BIGINT AS vec_id, v FROM ce WHERE n >= 3)", fx.knn("nm", 3), select="SELECT src, dst, rk, round(dist, 6) AS dist FROM nn"),
     "bridge_rates": fx.sql(*_FORM, _N, _M, _D, _BOTH, _FN, "mt AS (SELECT fn.node, count(DISTINCT CASE WHEN m.community >= 0 AND m.community <> fn.community THEN m.community END) AS o FROM fn JOIN bo ON bo.a = fn.node JOIN fx_entity m ON bo.b = m.vec_id GROUP BY fn.node)",
         select="SELECT formula, count(*) AS n, round(avg((coalesce(o, 0) >= 1)::INT::DOUBLE), 6) AS cross_rate, round(avg((coalesce(o, 0) >= 2)::INT::DOUBLE), 6) AS bridge_rate FROM fn LEFT JOIN mt USING (node) GROUP BY formula"),
+    "kernel_density": fx.sql(_E, "p AS (SELECT v[1] AS x, v[2] AS y FROM fx_entity)", "s AS (SELECT count(*)::DOUBLE AS n, min(x) AS x0, min(y) AS y0, (max(x) - min(x)) / 96 AS dx, (max(y) - min(y)) / 96 AS dy, stddev_samp(x) * power(count(*), -1.0::DOUBLE / 6) AS hx, stddev_samp(y) * power(count(*), -1.0::DOUBLE / 6) AS hy FROM p)",
+        "m AS (SELECT least(floor((x - x0) / dx), 95) AS a, least(floor((y - y0) / dy), 95) AS b, count(*) AS k FROM p, s GROUP BY 1, 2)", "g AS (SELECT unnest(range(24))::INTEGER AS i)",
+        select="SELECT g.i AS i, h.i AS j, round(sum(k * exp(-power(((a + 0.5::DOUBLE) - 4 * (g.i + 0.5::DOUBLE)) * dx / hx, 2) / 2) * exp(-power(((b + 0.5::DOUBLE) - 4 * (h.i + 0.5::DOUBLE)) * dy / hy, 2) / 2) / (hx * hy * 2 * pi())) / max(n), 6) + 0 AS density FROM m, s, g, g h GROUP BY g.i, h.i"),
     "fragmentation_entropy": fx.sql(*_FORM, "ct AS (SELECT formula, community, count(*) AS n FROM fx_formula WHERE formula <> '' AND community >= 0 GROUP BY ALL)", "pp AS (SELECT *, n / sum(n) OVER (PARTITION BY formula) AS p FROM ct)", select="SELECT formula, sum(n)::BIGINT AS total, round(-sum(p * ln(p)), 6) + 0 AS entropy FROM pp GROUP BY formula"),
     "role_groups": fx.sql(*_REPLAY, select=f"SELECT {_ROLE} AS role, count(*) AS n, round(avg(distance_to_centroid), 6) AS mean_distance FROM ev WHERE community >= 0 GROUP BY 1"),
     "role_groups_overlapping": fx.sql(*_REPLAY, "rl AS (SELECT 'birth' AS role, distance_to_centroid FROM ev WHERE community >= 0 AND event_type = 'community_birth' UNION ALL SELECT CASE WHEN is_bridge_attachment THEN 'bridge' WHEN core_periphery = 'core' THEN 'core' ELSE 'periphery' END, distance_to_centroid FROM ev WHERE community >= 0)", select="SELECT role, count(*) AS n, round(avg(distance_to_centroid), 6) AS mean_distance FROM rl GROUP BY role"),
