@@ -399,3 +399,42 @@ def isolated(x, weight, own: int, least: int, apart: float):
             found += 1
         used[inside] = True
     return label
+
+
+def bounds(x, seeds, apart: float):
+    """How far from each row of x the other members at most lie of an isolated set that holds the row and none of the seeds: such a
+    set keeps ``apart`` times its width from the nearest of them."""
+    out = np.full(len(x), np.inf, np.float32)
+    if not len(seeds):
+        return out
+    middle = seeds.mean(0)
+    t = seeds - middle
+    own = (t * t).sum(1)
+    step = max(1, 4_000_000 // len(t))
+    for s in range(0, len(x), step):
+        y = x[s : s + step] - middle
+        squares = (y * y).sum(1)
+        d = (own[None, :] - 2 * (y @ t.T)).min(1) + squares
+        out[s : s + step] = np.sqrt(np.maximum(d, 0) + 4e-6 * (squares + own.max())) / apart * (1 + 1e-5)
+    return out
+
+
+def mates(x, bound, y, other, same: bool = False):
+    """Masks of the rows of x and of y that have one of the other within the bounds of both; itself does not count."""
+    middle = x.mean(0)
+    a, b = x - middle, y - middle
+    squares, top = (a * a).sum(1), (b * b).sum(1)
+    a = np.concatenate([-2 * a, squares[:, None], np.ones((len(a), 1), np.float32)], 1)
+    b = np.concatenate([b, np.ones((len(b), 1), np.float32), top[:, None]], 1).T.copy()
+    slack = 4e-6 * (squares + top.max(initial=0))
+    mine, theirs = np.zeros(len(x), bool), np.zeros(len(y), bool)
+    step = max(1, 4_000_000 // max(len(y), 1))
+    for s in range(0, len(x), step):
+        d = a[s : s + step] @ b
+        r, c = np.nonzero(d <= (bound[s : s + step] ** 2 + slack[s : s + step])[:, None])
+        keep = d[r, c] <= other[c] ** 2 + slack[r + s]
+        if same:
+            keep &= r + s != c
+        mine[r[keep] + s] = True
+        theirs[c[keep]] = True
+    return mine, theirs

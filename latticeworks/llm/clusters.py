@@ -7,8 +7,9 @@
 3. A cluster that a split has cut lies in several leaves. Leaves meet again in views: cells of two other bisecting trees, fitted
    on the leaves, each leaf in the three nearest of both. There parts of one cluster are linked; links make groups.
 4. In every group the smallest isolated sets are found exactly, and what is near a set is held against it. What lies within a
-   group is first taken into it. A group of more than ``exact_rows`` rows is judged in blocks, each against all rows of the group
-   as they stream by; this is quadratic in the group, at some two nanoseconds a pair.
+   group is first taken into it. In a group of more than ``exact_rows`` rows only those are judged, in blocks, each against all
+   rows of the group as they stream by, that may be in a set smaller than the group; to find them, each row is held against a
+   seventh of the group, see ``_to_judge``. This is quadratic in the group, at some two nanoseconds a pair of a fourteenth.
 
 Equal vectors are one row with its copies throughout, so repeated records cost nothing.
 """
@@ -39,6 +40,7 @@ class Limits:
     views: int = 3  #: views of each tree that a unit is in
     exact_rows: int = 4096  #: distinct vectors; larger groups are judged in blocks
     block_rows: int = 8192
+    seeds: int = 4096  #: rows of a large group that are judged in any case
     widest: float = 0.5  #: largest rms radius of a unit, as a part of that of all rows
 
 
@@ -287,12 +289,12 @@ def _isolate(limits: Limits):
             centre[rows[0]] = middle.astype(np.float32).tolist()
             clear[rows[0]] = float(np.sqrt(((part - middle) ** 2).sum(1).max()) + limits.apart * width[rows].max()) * (1 + 1e-6)
         grp = got.column("grp")[0].as_py() if len(x) else 0
-        return pa.table({"rep": ids[keep], "cluster": cluster[keep], "width": width[keep], "grp": pa.array([grp] * len(keep), pa.int64()), "block": pa.array([0] * len(keep), pa.int32()), "centre": pa.array([centre[i] for i in keep], pa.list_(pa.float32())), "clear": pa.array([clear[i] for i in keep], pa.float64())})
+        return pa.table({"rep": ids[keep], "cluster": cluster[keep], "width": width[keep], "grp": pa.array([grp] * len(keep), pa.int64()), "block": pa.array([0] * len(keep), pa.int32()), "centre": pa.array([centre[i] for i in keep], pa.list_(pa.float32())), "clear": pa.array([clear[i] for i in keep], pa.float64()), "rough": pa.array([False] * len(keep), pa.bool_())})
 
     return run
 
 
-_SETS = "rep bigint, cluster bigint, width double, grp bigint, block int, centre array<float>, clear double"
+_SETS = "rep bigint, cluster bigint, width double, grp bigint, block int, centre array<float>, clear double, rough boolean"
 
 
 def _off(v: str, centre: str):
@@ -357,59 +359,247 @@ def _reached(sent):
 
 def _undone(limits: Limits):
     """Of a block of a set's rows, which come first, beside what is near the set, batch by batch: its name if a row outside is too
-    near one within."""
+    near one within. Of rows whose width is rough, no less than the true one, also those that are in doubt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         from .cells import squared
 
-        own, width, hit, name = [], [], False, None
+        own, width, rep, rough, hit, doubt, name = [], [], [], [], False, [], None
         for batch in batches:
             foreign, x, w = batch.column("foreign").to_numpy(zero_copy_only=False), matrix(batch.column("v")).astype(np.float64), batch.column("width").to_numpy()
             name = batch.column("cluster")[:1] if batch.num_rows else name
             own.append(x[~foreign])
             width.append(w[~foreign] ** 2)
+            rep.append(batch.column("rep").to_numpy()[~foreign])
+            rough.append(batch.column("rough").to_numpy(zero_copy_only=False)[~foreign])
             other = x[foreign]
             if hit or not len(other):
                 continue
-            own, width = [np.concatenate(own)], [np.concatenate(width)]
+            own, width, rep, rough = [np.concatenate(own)], [np.concatenate(width)], [np.concatenate(rep)], [np.concatenate(rough)]
             step = max(1, 4_000_000 // max(len(other), 1))
             for s in range(0, len(own[0]), step):
                 nearest, w = squared(own[0][s : s + step], other).min(1), width[0][s : s + step]
-                hit = hit or bool(((nearest < limits.apart**2 * w * (1 - 1e-12)) | (nearest <= w)).any())
+                close = (nearest < limits.apart**2 * w * (1 - 1e-12)) | (nearest <= w)
+                hit = hit or bool((close & ~rough[0][s : s + step]).any())
+                doubt.append(rep[0][s : s + step][close & rough[0][s : s + step]])
         if hit:
-            yield pa.RecordBatch.from_arrays([name], names=["cluster"])
+            yield pa.RecordBatch.from_arrays([name, pa.array([None], pa.int64())], names=["cluster", "rep"])
+        elif doubt and len(some := np.unique(np.concatenate(doubt))):
+            yield pa.RecordBatch.from_arrays([pa.array([name[0].as_py()] * len(some), pa.int64()), pa.array(some)], names=["cluster", "rep"])
 
     return run
 
 
+def _widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of some rows of a set, which come first, beside all of it, batch by batch: the largest distance of each within the set."""
+    import numpy as np
+
+    from .cells import squared
+
+    cluster, rep, own, most = None, [], [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        late, x = batch.column("late").to_numpy(zero_copy_only=False), matrix(batch.column("v")).astype(np.float64)
+        cluster = batch.column("cluster")[0].as_py()
+        rep.append(batch.column("rep").to_numpy()[~late])
+        own.append(x[~late])
+        if late.any():
+            own = [np.concatenate(own)]
+            most = np.zeros(len(own[0])) if most is None else most
+            step = max(1, 4_000_000 // int(late.sum()))
+            for s in range(0, len(most), step):
+                most[s : s + step] = np.maximum(most[s : s + step], squared(own[0][s : s + step], x[late]).max(1))
+    if most is not None and len(most):
+        yield pa.RecordBatch.from_arrays([pa.array([cluster] * len(most), pa.int64()), pa.array(np.concatenate(rep)), pa.array(np.sqrt(most))], names=["cluster", "rep", "width"])
+
+
+def _bounded(limits: Limits):
+    """Of rows of a large group behind its seeds, batch by batch: the rows with their bounds, see ``cells.bounds``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        from .cells import bounds
+
+        seeds = [np.zeros((0, VECTOR_WIDTH), np.float32)]
+        for batch in batches:
+            late = batch.column("late").to_numpy(zero_copy_only=False)
+            seeds = [np.concatenate([*seeds, matrix(batch.column("v"))[~late]])]
+            some = batch.filter(pa.array(late))
+            if some.num_rows:
+                bound = bounds(matrix(some.column("v")), seeds[0], limits.apart)
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("grp", "id", "held", "v")), pa.array(bound)], names=["grp", "id", "held", "v", "bound"])
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of some rows, which come first, and others, batch by batch: those that have another within the bounds of both."""
+    import numpy as np
+
+    from .cells import mates
+
+    own, hit, grp = [], None, 0
+
+    def among():
+        nonlocal own, hit
+        own = [np.concatenate(c) for c in zip(*own, strict=True)]
+        hit = mates(own[2], own[1], own[2], own[1], True)[0]
+
+    def out(ids):
+        return pa.RecordBatch.from_arrays([pa.array([grp] * len(ids), pa.int64()), pa.array(ids)], names=["grp", "id"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        grp, late = batch.column("grp")[0].as_py(), batch.column("late").to_numpy(zero_copy_only=False)
+        part = [batch.column("id").to_numpy(), batch.column("bound").to_numpy(), matrix(batch.column("v"))]
+        if not late.all():
+            if hit is not None:
+                raise RuntimeError("the rows of a block must come first")
+            own.append([c[~late] for c in part])
+        if late.any():
+            if not own:
+                continue
+            if hit is None:
+                among()
+            ids, bound, x = (c[late] for c in part)
+            mine, theirs = mates(own[2], own[1], x, bound)
+            hit |= mine
+            yield out(ids[theirs])
+    if own and hit is None:
+        among()
+    if own:
+        yield out(own[0][hit])
+
+
+def _inside(count: bool):
+    """Of proposed sets, which come first, each with the row that proposed it, and rows of the group, batch by batch: how many of
+    them each set holds, or which are in any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        from .cells import squared
+
+        sets, seen, grp = [], None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grp, late = batch.column("grp")[0].as_py(), batch.column("late").to_numpy(zero_copy_only=False)
+            x = matrix(batch.column("v")).astype(np.float64)
+            sets.append((batch.column("total").to_numpy()[~late], batch.column("count").to_numpy()[~late], batch.column("width").to_numpy()[~late] ** 2, x[~late]))
+            if not late.any():
+                continue
+            sets = [tuple(np.concatenate(c) for c in zip(*sets, strict=True))]
+            total, _, width, by = sets[0]
+            seen = np.zeros(len(total), np.int64) if seen is None else seen
+            x, ids, hit = x[late], batch.column("id").to_numpy()[late], np.zeros(int(late.sum()), bool)
+            step = max(1, 4_000_000 // len(x))
+            for s in range(0, len(total), step):
+                d = squared(by[s : s + step], x)
+                # nothing lies between the width and ``apart`` times it
+                r, c = np.nonzero(d <= 1.2 * width[s : s + step, None] + 1e-8 * (1 + d.max()))
+                e = by[s + r] - x[c]
+                keep = np.einsum("ij,ij->i", e, e) <= 1.2 * width[s + r]
+                seen[s : s + step] += np.bincount(r[keep], minlength=len(d))
+                hit[c[keep]] = True
+            if not count and hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array([grp] * int(hit.sum()), pa.int64()), pa.array(ids[hit])], names=["grp", "id"])
+        if count and seen is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([grp] * len(seen), pa.int64()), pa.array(sets[0][0]), pa.array(sets[0][1]), pa.array(seen)], names=["grp", "total", "count", "inside"])
+
+    return run
+
+
+def _proposed(own: DataFrame, judged: DataFrame, limits: Limits) -> DataFrame:
+    """What the rows ``judged`` propose, block by block; each block goes through all rows of its group."""
+    blocks = judged.groupBy("grp").agg(F.ceil(F.count("*") / limits.block_rows).cast("int").alias("n"))
+    first = judged.join(F.broadcast(blocks), "grp").select("id", F.pmod(F.xxhash64("id", F.lit(3)), F.col("n")).cast("int").alias("first"))
+    sent = own.join(F.broadcast(blocks), "grp").join(first, "id", "left").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    sent = sent.select("grp", "id", "copies", "v", "name", "held", "to", F.coalesce(F.col("to") != F.col("first"), F.lit(True)).alias("late"))
+    sent = sent.repartition("grp", "to").sortWithinPartitions("grp", "to", "late")
+    return stage(sent.groupBy("grp", "to").applyInArrow(_propose(limits), "grp bigint, id bigint, total bigint, count bigint, width double"), "proposals")
+
+
+def _to_judge(own: DataFrame, limits: Limits) -> DataFrame:
+    """``grp, id``: seeds, rows with copies, and rows that may be in an isolated set without any of these.
+
+    Such a set has ``least`` rows or more, so if the group is dealt out into one part less, two of them are in one part, within
+    the bounds of both. Pairs are looked for within parts only, in pieces, each pair once.
+    """
+    parts = limits.least - 1
+    if parts < 1:
+        return own.select("grp", "id")
+    n = F.ceil(F.col("held") / (16 * limits.block_rows)).cast("int")
+    columns = ["grp", "to", "id", "held", "v", "late"]
+    seeds = own.where("seed").withColumn("to", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("late", F.lit(False)).select(columns)
+    rest = own.where("not seed and copies = 1").withColumn("to", F.pmod(F.xxhash64("id", F.lit(5)), n).cast("int")).withColumn("late", F.lit(True)).select(columns)
+    sent = seeds.unionByName(rest).repartition("grp", "to").sortWithinPartitions("grp", "to", "late")
+    bounded = stage(sent.groupBy("grp", "to").applyInArrow(_bounded(limits), "grp bigint, id bigint, held bigint, v array<float>, bound float"), "large_bounds")
+    pieces = F.ceil(F.col("held") / (parts * 8 * limits.block_rows)).cast("int")
+    dealt = bounded.withColumn("part", F.pmod(F.xxhash64("id", F.lit(19)), F.lit(parts)).cast("int")).withColumn("piece", F.pmod(F.xxhash64("id", F.lit(23)), pieces).cast("int"))
+    dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("piece")))).select("grp", "part", "to", "id", "bound", "v", (F.col("to") != F.col("piece")).alias("late"))
+    dealt = dealt.repartition("grp", "part", "to").sortWithinPartitions("grp", "part", "to", "late")
+    met = dealt.groupBy("grp", "part", "to").applyInArrow(_met, "grp bigint, id bigint").distinct()
+    return stage(own.where("seed or copies > 1").select("grp", "id").unionByName(met), "judged")
+
+
 def _sets_of_large(rows: DataFrame, large: DataFrame, limits: Limits) -> DataFrame:
     """The smallest isolated sets of groups of any size, as of ``_isolate``, before rows of other groups are looked at.
 
-    As in ``cells.isolated``, a set stands if all its rows propose it; here the rows propose in blocks and are counted afterwards.
-    A block goes through all rows of its group; rows are blocked by hash, so each block is a fair sample of the group.
+    As in ``cells.isolated``, a set stands if all its rows propose it. A set that is not the whole group is proposed by a row of
+    ``_to_judge``: it holds a seed, or two of its rows lie within the bounds of both. So these propose first; of what all of them
+    agree on the other members are judged as well. The whole group is isolated within itself, and is found if no other set is;
+    then widths of its rows are rough, the way by the centre, and are measured where they matter.
     """
-    n = F.ceil(F.col("held") / limits.block_rows).cast("int")
-    own = rows.join(F.broadcast(large.withColumn("n", n)), "grp").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("n")).cast("int"))
-    own = stage(own.select("grp", "id", "copies", "v", F.xxhash64("id").alias("name"), "block", "n", "held"), "large_rows")
-    sent = own.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("grp", "id", "copies", "v", "name", "held", "to", (F.col("to") != F.col("block")).alias("late"))
-    sent = sent.repartition("grp", "to").sortWithinPartitions("grp", "to", "late")
-    said = stage(sent.groupBy("grp", "to").applyInArrow(_propose(limits), "grp bigint, id bigint, total bigint, count bigint, width double"), "proposals")
     key = ["grp", "total", "count"]
+    block = F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("held") / limits.block_rows)).cast("int")
+    seed = F.pmod(F.xxhash64("id", F.lit(11)), F.col("held")) < limits.seeds
+    own = rows.join(F.broadcast(large), "grp")
+    own = stage(own.select("grp", "id", "copies", "v", F.xxhash64("id").alias("name"), "held", block.alias("block"), seed.alias("seed")), "large_rows")
+    judged = _to_judge(own, limits)
+    said = _proposed(own, judged, limits)
+    of_parts = said.join(F.broadcast(large), "grp").where(F.col("count") < F.col("held")).drop("held")
+    votes = of_parts.groupBy(key).agg(F.count("*").alias("votes"), F.min(F.struct("id", "width")).alias("by"))
+    open_ = stage(votes.where("votes < count").select(*key, "votes", "by.*"), "open")
+    if open_.limit(1).count():
+        n = F.ceil(F.col("held") / (8 * limits.block_rows)).cast("int")
+        columns = ["grp", "to", "id", "total", "count", "width", "v", "late"]
+
+        def inside(sets, some, count, schema):
+            to_all = sets.join(own.select("id", "v", "held"), "id").withColumn("to", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("late", F.lit(False)).select(columns)
+            each = some.withColumn("to", F.pmod(F.xxhash64("id", F.lit(5)), n).cast("int")).select("grp", "to", "id", F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("count"), F.lit(0.0).alias("width"), "v", F.lit(True).alias("late"))
+            both = to_all.unionByName(each.join(sets.select("grp").distinct(), "grp", "left_semi")).repartition("grp", "to").sortWithinPartitions("grp", "to", "late")
+            return both.groupBy("grp", "to").applyInArrow(_inside(count), schema)
+
+        agreed = inside(open_, own.join(judged.select("id"), "id", "left_semi"), True, "grp bigint, total bigint, count bigint, inside bigint").groupBy(key).agg(F.sum("inside").alias("inside"))
+        left = stage(open_.join(agreed, key).where("inside = votes").select(*key, "id", "width"), "agreed")
+        if left.limit(1).count():
+            more = stage(inside(left, own, False, "grp bigint, id bigint").distinct().join(judged.select("id"), "id", "left_anti").select("grp", "id"), "judged")
+            of_parts = of_parts.unionByName(_proposed(own, more, limits).join(F.broadcast(large), "grp").where(F.col("count") < F.col("held")).drop("held"))
     # isolated sets are nested or disjoint; one that holds a smaller one has a row of which it is not the smallest
-    whole = said.groupBy(key).agg(F.count("*").alias("votes")).where("votes = count").select(key)
-    first = said.join(whole, key).groupBy("grp", "id").agg(F.min(F.struct("count", "total", "width")).alias("s")).select("grp", "id", "s.*")
+    whole = stage(of_parts.groupBy(key).agg(F.count("*").alias("votes")).where("votes = count").select(key), "whole")
+    first = of_parts.join(whole, key).groupBy("grp", "id").agg(F.min(F.struct("count", "total", "width")).alias("s")).select("grp", "id", "s.*")
     first = stage(first, "large_first")
     names = first.groupBy(key).agg(F.count("*").alias("held"), F.min("id").alias("cluster")).where(F.col("held") == F.col("count")).select(*key, "cluster")
-    found = first.join(names, key).select("grp", F.col("id").alias("rep"), "width", "cluster").join(own.select(F.col("id").alias("rep"), "v", "block"), "rep")
-    found = stage(found, "large_sets")
+    found = first.join(names, key).select("grp", F.col("id").alias("rep"), "width", "cluster", F.lit(False).alias("rough")).join(own.select(F.col("id").alias("rep"), "v", "block"), "rep")
+    undivided = own.join(F.broadcast(large.select("grp").join(whole.select("grp").distinct(), "grp", "left_anti")), "grp")
+    named = undivided.groupBy("grp").agg(F.min("id").alias("cluster"))
+    undivided = undivided.join(F.broadcast(named), "grp").select("grp", F.col("id").alias("rep"), F.lit(None).cast("double").alias("width"), "cluster", F.lit(True).alias("rough"), "v", "block")
+    found = stage(found.unionByName(undivided), "large_sets")
     mean = found.groupBy("cluster").agg(*[F.avg(F.col("v")[k].cast("double")).cast("float").alias(f"m{k}") for k in range(VECTOR_WIDTH)])
     centre = stage(mean.select("cluster", F.array(*[f"m{k}" for k in range(VECTOR_WIDTH)]).alias("centre")), "large_centres")
-    shape = found.join(centre, "cluster").groupBy("cluster").agg(((F.max(_off("v", "centre")) + limits.apart * F.max("width")) * (1 + 1e-6)).alias("clear")).join(centre, "cluster")
+    found = found.join(centre, "cluster").withColumn("off", _off("v", "centre")).drop("v", "centre")
+    found = stage(found, "large_off")
+    shape = found.groupBy("cluster").agg(F.max("off").alias("most"), F.max("width").alias("wide")).join(centre, "cluster")
+    shape = stage(shape.select("cluster", "centre", "most", ((F.col("most") + limits.apart * F.coalesce("wide", 2 * F.col("most"))) * (1 + 1e-6)).alias("clear")), "large_shapes")
     first_row = F.col("rep") == F.col("cluster")
-    shape = stage(shape.select("cluster", "centre", "clear"), "large_shapes")
-    with_shape = found.drop("v").join(shape, "cluster").select("rep", "cluster", "width", "grp", "block", F.when(first_row, F.col("centre")).alias("centre"), F.when(first_row, F.col("clear")).alias("clear"))
+    width = F.when(F.col("rough"), (F.col("off") + F.col("most")) * (1 + 1e-9)).otherwise(F.col("width"))
+    with_shape = found.join(shape, "cluster").select("rep", "cluster", width.alias("width"), "grp", "block", F.when(first_row, F.col("centre")).alias("centre"), F.when(first_row, F.col("clear")).alias("clear"), "rough")
     return stage(with_shape, "large_found")
 
 
@@ -441,14 +631,34 @@ def _near_rows(near: DataFrame, rows: DataFrame) -> DataFrame:
 def _standing(found: DataFrame, near: DataFrame, classes: DataFrame, limits: Limits) -> DataFrame:
     """``rep, cluster`` of the sets that no row ``near`` undoes. A row outside can only undo a set, and with it all that hold it."""
     near = stage(near.select("cluster", "v"), "near")
-    blocks = found.join(near.select("cluster").distinct(), "cluster").select("cluster", "block").distinct()
-    both = found.join(near.select("cluster").distinct(), "cluster").join(classes.select("rep", "v"), "rep").select("cluster", "block", "v", "width", F.lit(False).alias("foreign"))
-    both = both.unionByName(near.join(blocks, "cluster").select("cluster", "block", "v", F.lit(0.0).alias("width"), F.lit(True).alias("foreign")))
-    both = both.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "foreign")
-    undone = both.groupBy("cluster", "block").applyInArrow(_undone(limits), "cluster bigint").distinct()
+    touched = found.join(near.select("cluster").distinct(), "cluster")
+    own = touched.join(classes.select("rep", "v"), "rep").select("cluster", "block", "rep", "v", "width", "rough", F.lit(False).alias("foreign"))
+    said = _beside(own, near, limits)
+    if found.where("rough").limit(1).count():
+        said = stage(said, "undone")
+        doubt = said.where(F.col("rep").isNotNull()).join(said.where(F.col("rep").isNull()).select("cluster"), "cluster", "left_anti")
+        if doubt.limit(1).count():
+            own = stage(own.join(doubt.select("cluster").distinct(), "cluster"), "doubted")
+            some = stage(own.join(doubt.select("rep"), "rep"), "doubt")
+            blocks = some.select("cluster", "block").distinct()
+            both = some.select("cluster", "block", "rep", "v", F.lit(False).alias("late")).unionByName(own.drop("block").join(blocks, "cluster").select("cluster", "block", "rep", "v", F.lit(True).alias("late")))
+            both = both.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "late")
+            widths = stage(both.groupBy("cluster", "block").applyInArrow(_widths, "cluster bigint, rep bigint, width double"), "widths")
+            measured = some.drop("width", "rough").join(widths, ["cluster", "rep"]).withColumn("rough", F.lit(False))
+            said = said.where(F.col("rep").isNull()).unionByName(_beside(measured, near, limits))
+    undone = said.where(F.col("rep").isNull()).select("cluster").distinct()
     return found.join(undone, "cluster", "left_anti").select("rep", "cluster")
 
 
+def _beside(own: DataFrame, near: DataFrame, limits: Limits) -> DataFrame:
+    """What ``_undone`` says of the blocks of sets."""
+    columns = ["cluster", "block", "rep", "v", "width", "rough", "foreign"]
+    blocks = own.select("cluster", "block").distinct()
+    other = near.join(blocks, "cluster").withColumns({"rep": F.lit(0).cast("bigint"), "width": F.lit(0.0), "rough": F.lit(False), "foreign": F.lit(True)})
+    both = own.select(columns).unionByName(other.select(columns)).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "foreign")
+    return both.groupBy("cluster", "block").applyInArrow(_undone(limits), "cluster bigint, rep bigint")
+
+
 def _whole_views(members: DataFrame, units: DataFrame, trees, lost: DataFrame, found: DataFrame, classes: DataFrame, limits: Limits) -> DataFrame:
     """``rep, cluster``: sets that hold whole views.
 

@@ -293,6 +293,30 @@ def test_a_set_within_a_large_group(spark, limits):
     assert {frozenset(s) for s in got.values()} == {frozenset(range(900, 910)), frozenset(range(910, 1110))}
 
 
+@pytest.mark.parametrize("seeds", [0, 4])
+def test_large_groups_of_which_few_rows_are_judged(spark, seeds):
+    at, off = np.eye(32)[0] * 60, np.eye(32)[1]
+    hot = grid(90, 81, 1.0)
+    blobs = [grid(40, 71, 0.1, at), grid(40, 72, 0.1, at + off * 2.2), grid(30, 73, 0.1, at * 2), (at * 2 + off)[None], grid(12, 75, 0.01, hot[0] * 0.2)]
+    # a record outside for which the way by the centre is too long and the true width is not
+    blobs += [grid(30, 74, 0.1, at * 3), (at * 3 + off * 2.0)[None]]
+    x = np.concatenate([hot, *blobs]).astype(np.float32)
+    limits = clusters.Limits(exact_rows=20, block_rows=16, seeds=seeds)
+    got = {}
+    for r in clusters.cluster_records(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), limits=limits).collect():
+        got.setdefault(r["cluster"], set()).add(r["id"])
+    assert {frozenset(s) for s in got.values()} == brute_clusters(x)
+
+
+def test_few_rows_of_a_hot_cluster_are_judged(spark):
+    # all of them were once sent to every block of the group
+    x = grid(5000, 83)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    own = spark.createDataFrame([(1, i, 1, v, i, 5000, 0, i < 400) for i, v in rows], "grp bigint, id bigint, copies int, v array<float>, name bigint, held bigint, block int, seed boolean")
+    judged = {r["id"] for r in clusters._to_judge(own, clusters.Limits(block_rows=128)).collect()}
+    assert set(range(400)) <= judged and len(judged) < 1500
+
+
 def test_profiles_propose_as_whole_orders_do():
     rng = np.random.default_rng(0)
     for trial in range(40):
